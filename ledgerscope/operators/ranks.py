@@ -88,6 +88,30 @@ def exact_quantiles(
     return result
 
 
+def rows_at_ranks(
+    df: DataFrame, first: str, second: str, ranks: Sequence[int], small_rows: int = SMALL_ROWS
+) -> list[tuple | None]:
+    """The (first, second) pairs at zero-based ranks of the order by both; None beyond the end.
+
+    Both columns are integers without nulls. A short table is ranked by a window; a long one by
+    selecting on ``first``, then on ``second`` among the rows that tie.
+    """
+    df = df.select(first, second)
+    n = df.count()
+    inside = sorted({r for r in ranks if 0 <= r < n})
+    found: dict[int, tuple] = {}
+    if inside and n <= small_rows:
+        rank = F.row_number().over(Window.orderBy(first, second)) - 1
+        ranked = df.withColumn("_rank", rank).where(F.col("_rank").isin(inside))
+        found = {row["_rank"]: (row[first], row[second]) for row in ranked.collect()}
+    elif inside:
+        for r, at in zip(inside, values_at_ranks(df, first, inside), strict=True):
+            before = df.where(F.col(first) < at).count()
+            ties = df.where(F.col(first) == at)
+            found[r] = (at, values_at_ranks(ties, second, [r - before])[0])
+    return [found.get(r) for r in ranks]
+
+
 def cut_points(df: DataFrame, value: str, slices: int = SLICES) -> list[float]:
     """Increasing values that cut a numeric column into about equal parts; at most ``slices - 1``."""
     shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
@@ -103,14 +127,17 @@ def running_totals(
     within: Sequence[str] = (),
     descending: bool = True,
     slices: int = SLICES,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add running totals (current row included) in the order of ``value`` over the whole table.
 
     ``value`` must be unique within each group, as after ``groupBy(value)``. The order is cut into
     slices at approximate quantiles. Each slice is summed by its own task and starts from the total
-    of the slices before it; the table of slice totals has at most ``slices`` rows per group.
+    of the slices before it; the table of slice totals has at most ``slices`` rows per group. Cuts that are
+    already known can be given.
     """
-    cuts = cut_points(df, value, slices)
+    if cuts is None:
+        cuts = cut_points(df, value, slices)
     if cuts:
         splits = [float("-inf"), *cuts, float("inf")]
         numbered = df.withColumn("_value", F.col(value).cast("double"))

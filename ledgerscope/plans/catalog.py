@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerscope.plans import cleaning_queries, enrichment_queries  # noqa: F401
+from ledgerscope.plans import (  # noqa: F401
+    cleaning_queries,
+    dashboard_queries,
+    enrichment_queries,
+    evaluation_queries,
+)
 from ledgerscope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

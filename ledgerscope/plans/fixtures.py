@@ -331,3 +331,39 @@ def with_views(sql: str, *views: str) -> str:
     body = sql.strip()
     joiner = ",\n" + body[len("WITH ") :] if body.upper().startswith("WITH ") else "\n" + body
     return f"WITH {definitions}{joiner}"
+
+
+# --------------------------------------------------------------------------- several scored models
+# experiment, model, multiplier of the pseudo random part, weight of the label in the score
+MODEL_SCORES = (
+    ("base", "dummy", 0, 0),
+    ("base", "linear", 7919, 60),
+    ("base", "forest", 6151, 200),
+    ("extended", "dummy", 0, 0),
+    ("extended", "linear", 4409, 150),
+    ("extended", "forest", 3571, 190),
+)
+
+
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of several pretended models for every definitive invoice."""
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(e).alias("experiment"),
+                F.lit(m).alias("model"),
+                F.expr(f"CAST((row_no * {k}) % 1000 + label * {w} AS DOUBLE) / 1250.0D").alias("score"),
+            )
+            for e, m, k, w in MODEL_SCORES
+        ]
+    )
+    rows = scores(spark, sf_dir).drop("score")
+    return rows.select("row_no", "issued_ts", "label", F.inline(entries))
+
+
+SQL_VIEWS["model_scores"] = "\nUNION ALL\n".join(
+    f"SELECT row_no, issued_ts, label, '{e}' AS experiment, '{m}' AS model, "
+    f"CAST((row_no * {k}) % 1000 + label * {w} AS DOUBLE) / 1250.0 AS score FROM scores"
+    for e, m, k, w in MODEL_SCORES
+)
+_NEEDS["model_scores"] = ("scores",)
