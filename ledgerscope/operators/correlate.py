@@ -16,6 +16,12 @@ from ledgerscope import schema as S
 NULL_LEVEL = "nan"
 
 
+def _pearson(x: Column, y: Column) -> Column:
+    """Correlation over the rows where both are known; null for a constant (``corr`` would fail)."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _category_correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     levels = df.select(
         F.col(target).cast("bigint").alias("y"),
@@ -50,7 +56,7 @@ def _number_correlations(df: DataFrame, columns: Sequence[str], target: str) ->
                 F.lit(c).alias("source"),
                 F.lit(None).cast("string").alias("level"),
                 F.lit(False).alias("is_category"),
-                F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias("correlation"),
+                _pearson(F.col(c).cast("double"), F.col(target).cast("double")).alias("correlation"),
             )
             for c in columns
         ]
@@ -102,9 +108,17 @@ def correlation_matrix(
 
     values = {target: F.col(target).cast("double"), **{r["variable"]: column(r) for r in strongest}}
     names = list(values)
-    pairs = [
-        F.struct(F.lit(a).alias("variable_a"), F.lit(b).alias("variable_b"), F.corr(values[a], values[b]).alias("correlation"))
-        for i, a in enumerate(names)
-        for b in names[i + 1 :]
-    ]
-    return known.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
+    # One row per left variable, so that the aggregate has one entry per variable and not per pair.
+    rows = known.select(*[v.alias(f"_v{i}") for i, v in enumerate(values.values())])
+    left = F.posexplode(F.array(*[F.col(f"_v{i}") for i in range(len(names))])).alias("a", "x")
+    pairs = F.array(
+        *[
+            F.struct(F.lit(i).alias("b"), _pearson(F.col("x"), F.col(f"_v{i}")).alias("correlation"))
+            for i in range(1, len(names))
+        ]
+    )
+    table = rows.select("*", left).groupBy("a").agg(pairs.alias("pairs")).select("a", F.inline("pairs"))
+    labels = F.array(*[F.lit(n) for n in names])
+    return table.where(F.col("a") < F.col("b")).select(
+        F.get(labels, F.col("a")).alias("variable_a"), F.get(labels, F.col("b")).alias("variable_b"), "correlation"
+    )

@@ -34,9 +34,11 @@ def distinct_keys(df: DataFrame, raw_key: str = "raw_key") -> DataFrame:
     return df.select(key).where(F.col("supplier_key").isNotNull()).distinct()
 
 
-def missing_keys(wanted: DataFrame, found: DataFrame, key: str = "supplier_key") -> DataFrame:
+def missing_keys(
+    wanted: DataFrame, found: DataFrame, key: str = "supplier_key", *, small: bool | None = None
+) -> DataFrame:
     """Wanted keys that were not found."""
-    return semi_join_keys(wanted.select(key).distinct(), found, key, how="left_anti")
+    return semi_join_keys(wanted.select(key).distinct(), found, key, how="left_anti", small=small)
 
 
 # --------------------------------------------------------------------------- registry
@@ -57,7 +59,9 @@ def normalize_dimension(df: DataFrame, order: str, raw_key: str = "supplier_key"
     return dedup_by_key(keyed, "supplier_key", "_order").select(*types)
 
 
-def filter_registry(registry: DataFrame, wanted: DataFrame, order: str = "line_no") -> DataFrame:
+def filter_registry(
+    registry: DataFrame, wanted: DataFrame, order: str = "line_no", *, small: bool | None = None
+) -> DataFrame:
     """Registry rows of the wanted suppliers, cleaned, one per key.
 
     The key test runs in the scan stage, before the text work, so the bulk of the registry is
@@ -65,7 +69,7 @@ def filter_registry(registry: DataFrame, wanted: DataFrame, order: str = "line_n
     """
     S.require_columns(registry, ("supplier_key", "legal_name", "key_status", "domicile", "location_code"), "registry")
     keyed = registry.withColumn("supplier_key", normalize_key(F.col("supplier_key")))
-    matched = semi_join_keys(keyed, wanted, "supplier_key")
+    matched = semi_join_keys(keyed, wanted, "supplier_key", small=small)
     if "address" in registry.columns:
         address = F.trim(F.coalesce("address", F.lit("")))
     else:
@@ -106,13 +110,18 @@ def assert_unique(df: DataFrame, key: str) -> None:
 
 
 def enrich_invoices(
-    invoices: DataFrame, registry: DataFrame, *, check_unique: bool = True, broadcast_rows: int = BROADCAST_ROWS
+    invoices: DataFrame,
+    registry: DataFrame,
+    *,
+    check_unique: bool = True,
+    small: bool | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add registry fields and ``registry_found``; suppliers not found get the agreed fill values."""
     if check_unique:
         assert_unique(registry, "supplier_key")
     dim = registry.where(F.col("supplier_key").isNotNull()).withColumn("_found", F.lit(1))
-    joined = join_many_to_one(invoices, dim, "supplier_key", broadcast_rows=broadcast_rows)
+    joined = join_many_to_one(invoices, dim, "supplier_key", small=small, broadcast_rows=broadcast_rows)
     return joined.withColumns(
         {
             "registry_found": F.coalesce("_found", F.lit(0)),
@@ -156,14 +165,17 @@ def build_flags(wanted: DataFrame, lists: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def add_membership_flags(
-    invoices: DataFrame, flags: DataFrame | None, *, broadcast_rows: int = BROADCAST_ROWS
+    invoices: DataFrame,
+    flags: DataFrame | None,
+    *,
+    small: bool | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Flags per invoice; 0 for suppliers that are in no list and when no lists exist."""
     if flags is None:
         return invoices.withColumns({f: F.lit(0) for f in S.LIST_FLAGS})
-    joined = join_many_to_one(
-        invoices, flags.select("supplier_key", *S.LIST_FLAGS), "supplier_key", broadcast_rows=broadcast_rows
-    )
+    known = flags.select("supplier_key", *S.LIST_FLAGS)
+    joined = join_many_to_one(invoices, known, "supplier_key", small=small, broadcast_rows=broadcast_rows)
     return joined.withColumns({f: F.coalesce(F.col(f).cast("int"), F.lit(0)) for f in S.LIST_FLAGS})
 
 

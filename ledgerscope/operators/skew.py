@@ -41,8 +41,8 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS, limit: int =
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether a table is small, without counting beyond the limit."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether a table is small enough; ``rows`` of zero answers without a job."""
+    return rows > 0 and df.count() <= rows
 
 
 def null_safe_key(key: Column) -> Column:
@@ -56,6 +56,7 @@ def join_many_to_one(
     key: str,
     *,
     how: str = "left",
+    small: bool | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
@@ -63,8 +64,9 @@ def join_many_to_one(
 
     A dimension of checked size is broadcast. A larger one is shuffled, except for the hot fact
     keys: their few dimension rows are broadcast. Null keys match nothing and are not shuffled.
+    ``small`` passes on a size check already made for ``dim`` or for a table it is part of.
     """
-    if has_at_most(dim, broadcast_rows):
+    if has_at_most(dim, broadcast_rows) if small is None else small:
         return facts.join(F.broadcast(dim), key, how)
 
     keyed = facts.where(F.col(key).isNotNull())
@@ -88,10 +90,16 @@ def join_many_to_one(
 
 
 def semi_join_keys(
-    rows: DataFrame, keys: DataFrame, key: str, *, how: str = "left_semi", broadcast_rows: int = BROADCAST_ROWS
+    rows: DataFrame,
+    keys: DataFrame,
+    key: str,
+    *,
+    how: str = "left_semi",
+    small: bool | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Keep (or with ``left_anti`` drop) the rows whose key is listed; broadcast a small list only."""
     keys = keys.select(key)
-    if has_at_most(keys, broadcast_rows):
+    if has_at_most(keys, broadcast_rows) if small is None else small:
         return rows.join(F.broadcast(keys), key, how)
     return rows.join(keys, key, how)

@@ -7,6 +7,7 @@ from ledgerscope.plans import (  # noqa: F401
     dashboard_queries,
     enrichment_queries,
     evaluation_queries,
+    learning_queries,
 )
 from ledgerscope.plans.registry import ORACLES, QUERIES
 

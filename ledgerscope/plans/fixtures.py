@@ -12,7 +12,17 @@ from pyspark.sql import functions as F
 from ledgerscope import schema as S
 from ledgerscope.functions.risk import prediction_code, prediction_label, reasons_text, risk_reasons, risk_tier
 from ledgerscope.functions.text import normalize_key
-from ledgerscope.operators.enrich import add_membership_flags, build_flags, distinct_keys, enrich_invoices, filter_registry
+from ledgerscope.operators.enrich import (
+    add_membership_flags,
+    build_flags,
+    definitive,
+    derive_columns,
+    distinct_keys,
+    enrich_invoices,
+    filter_registry,
+    pending,
+)
+from ledgerscope.operators.skew import BROADCAST_ROWS, has_at_most
 
 FIXED_CUTS = (0.33, 0.85)
 FIXED_THRESHOLD = 0.5
@@ -86,8 +96,18 @@ def registry_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(later)
 
 
+def supplier_keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    """The suppliers of the invoices and whether they are few.
+
+    The filtered registry and the flags have at most one row per supplier, so one check does for all.
+    """
+    keys = distinct_keys(invoices(spark, sf_dir))
+    return keys, has_at_most(keys, BROADCAST_ROWS)
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_registry(registry_raw(spark, sf_dir), distinct_keys(invoices(spark, sf_dir)))
+    keys, few = supplier_keys(spark, sf_dir)
+    return filter_registry(registry_raw(spark, sf_dir), keys, small=few)
 
 
 def lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -105,8 +125,10 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = enrich_invoices(invoices(spark, sf_dir), registry(spark, sf_dir), check_unique=False)
-    return add_membership_flags(joined, flags(spark, sf_dir))
+    keys, few = supplier_keys(spark, sf_dir)
+    found = filter_registry(registry_raw(spark, sf_dir), keys, small=few)
+    joined = enrich_invoices(invoices(spark, sf_dir), found, check_unique=False, small=few)
+    return add_membership_flags(joined, build_flags(keys, lists(spark, sf_dir)), small=few)
 
 
 def _probability() -> F.Column:
@@ -115,16 +137,12 @@ def _probability() -> F.Column:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label and a deterministic score with many ties for every definitive invoice."""
-    from ledgerscope.operators.enrich import definitive, derive_columns
-
     rows = derive_columns(definitive(invoices(spark, sf_dir)))
     return rows.select("row_no", "issued_ts", F.col("incident").alias("label"), _probability().alias("score"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending invoices with a deterministic probability, tier, label and reasons."""
-    from ledgerscope.operators.enrich import pending
-
     rows = pending(enriched(spark, sf_dir)).withColumns(
         {
             "probability": _probability(),

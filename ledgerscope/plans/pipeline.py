@@ -9,9 +9,26 @@ from pyspark.sql import functions as F
 
 from ledgerscope import schema as S
 from ledgerscope.functions.risk import prediction_code, prediction_label, reasons_text, risk_reasons, risk_tier
-from ledgerscope.operators.enrich import add_membership_flags, derive_columns, enrich_invoices
+from ledgerscope.operators.enrich import (
+    add_membership_flags,
+    definitive,
+    derive_columns,
+    enrich_invoices,
+    pending,
+)
 from ledgerscope.operators.history import HistoryColumns, supplier_history
+from ledgerscope.operators.learn import (
+    Bundle,
+    Candidate,
+    calibrate,
+    candidates,
+    choose_threshold,
+    pick_best,
+    score_rows,
+    train_experiments,
+)
 from ledgerscope.operators.ranks import exact_quantiles
+from ledgerscope.operators.split import temporal_split
 
 DEFAULT_CUTS = (0.30, 0.60)
 
@@ -63,3 +80,60 @@ def finish_predictions(
             "reasons": reasons_text(reasons),
         }
     )
+
+
+# Identity of an invoice in the output; names and addresses only when the input has them.
+OUTPUT_COLUMNS = (
+    "invoice_id",
+    "supplier_key",
+    "legal_name",
+    "doc_type",
+    "issued_ts",
+    "currency",
+    "amount",
+    "key_status",
+    "domicile",
+    "irregular",
+)
+OPTIONAL_OUTPUT = ("row_no", "supplier_name", "address", "location_code", *S.LIST_FLAGS)
+
+
+def score_pending(pending_rows: DataFrame, bundle: Bundle) -> DataFrame:
+    """Probability, code, label, tier and reasons of pending invoices."""
+    S.require_columns(pending_rows, (*bundle.features, *OUTPUT_COLUMNS), "scoring")
+    scored = score_rows(bundle.pipeline, pending_rows, "probability")
+    finished = finish_predictions(scored, threshold=bundle.threshold, cuts=bundle.cuts)
+    extra = [c for c in OPTIONAL_OUTPUT if c in pending_rows.columns]
+    return finished.select(*OUTPUT_COLUMNS, *extra, "probability", "code", "label", "tier", "reasons")
+
+
+def train_and_score(
+    prepared: DataFrame,
+    *,
+    experiments: dict[str, Sequence[str]] | None = None,
+    models: Sequence[Candidate] | None = None,
+    search: bool = True,
+    max_settings: int = 8,
+) -> tuple[Bundle, DataFrame, DataFrame]:
+    """Compare models in time order, calibrate the best, and score the pending invoices.
+
+    Returns the bundle, the comparison table and the predictions.
+    """
+    labelled = temporal_split(definitive(prepared).withColumn("label", F.col("incident"))).persist()
+    train, validation = (labelled.where(F.col("split") == s) for s in ("train", "validation"))
+    trained, comparison = train_experiments(
+        train,
+        validation,
+        experiments or {"base": S.BASE_FEATURES, "extended": S.FULL_FEATURES},
+        models or candidates(),
+        search=search,
+        max_settings=max_settings,
+    )
+    best, threshold = pick_best(trained, comparison)
+    pipeline, calibration = calibrate(best.pipeline, validation)
+    if calibration.where("selected AND method <> 'original'").count():
+        threshold = choose_threshold(pipeline, validation)
+    open_rows = pending(prepared)
+    cuts = risk_cuts(score_rows(pipeline, open_rows, "probability"))
+    bundle = Bundle(pipeline, best.features, threshold, cuts, best.experiment, best.model)
+    return bundle, comparison, score_pending(open_rows, bundle)
