@@ -147,7 +147,7 @@ def candidates(label: str = "label", *, trees: int = 300, rounds: int = 100, see
     def logistic(setting: Mapping[str, Any], rows: int):
         # C of the usual formulation is the inverse of the total penalty.
         penalty = 1.0 / (setting.get("C", 1.0) * max(rows, 1))
-        return LogisticRegression(regParam=penalty, standardization=False, maxIter=200, **common)
+        return LogisticRegression(regParam=penalty, standardization=False, maxIter=100, tol=1e-4, **common)
 
     def forest(setting: Mapping[str, Any], rows: int):
         return RandomForestClassifier(

@@ -8,6 +8,7 @@ from ledgerscope.plans import (  # noqa: F401
     enrichment_queries,
     evaluation_queries,
     learning_queries,
+    source_queries,
 )
 from ledgerscope.plans.registry import ORACLES, QUERIES
 

@@ -20,7 +20,7 @@ def _lines(spark: SparkSession, path: str, encoding: str, line_sep: str | None)
     """Lines with a number that follows file name and position in the file."""
     reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
     lines = reader.text(path).select(
-        F.decode(F.col("value").cast("binary"), F.lit(encoding)).alias("line"),
+        F.decode(F.col("value").cast("binary"), encoding).alias("line"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         # Increases with the position inside one file block.
