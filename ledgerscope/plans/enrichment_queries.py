@@ -399,3 +399,21 @@ def supplier_history_past_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.leakage_report(_history(spark, sf_dir))
+
+
+@query(
+    "prepared_invoices",
+    _history_sql(_MEDIAN)
+    + f"""SELECT d.row_no, d.key_status, d.domicile, d.irregular, d.registry_found, {", ".join(f"d.{f}" for f in S.LIST_FLAGS)},
+  d.term_days, d.incident, f.prev_count, f.incidents_90d, round(f.prev_incident_rate, 6) AS prev_incident_rate,
+  round(f.amount_deviation, 6) AS amount_deviation
+FROM derived d JOIN features f ON d.row_no = f.row_no""",
+    ("derived",),
+)
+def prepared_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole preparation: derived columns, history, registry and lists."""
+    return fx.prepared(spark, sf_dir).select(
+        "row_no", "key_status", "domicile", "irregular", "registry_found", *S.LIST_FLAGS, "term_days", "incident",
+        "prev_count", "incidents_90d", F.round("prev_incident_rate", 6).alias("prev_incident_rate"),
+        F.round("amount_deviation", 6).alias("amount_deviation"),
+    )

@@ -131,6 +131,16 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_membership_flags(joined, build_flags(keys, lists(spark, sf_dir)), small=few)
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every invoice with all model features."""
+    from ledgerscope.plans.pipeline import prepare
+
+    keys, few = supplier_keys(spark, sf_dir)
+    found = filter_registry(registry_raw(spark, sf_dir), keys, small=few)
+    flagged = build_flags(keys, lists(spark, sf_dir))
+    return prepare(invoices(spark, sf_dir), found, flagged, small=few, check_unique=False)
+
+
 def _probability() -> F.Column:
     return F.expr("CAST((row_no * 7919) % 1000 AS DOUBLE) / 1000.0D")
 

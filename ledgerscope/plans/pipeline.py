@@ -40,10 +40,17 @@ def prepare(
     *,
     tie_break: str = "row_no",
     fill: str = "median",
+    small: bool | None = None,
+    check_unique: bool = True,
 ) -> DataFrame:
-    """Registry fields, membership flags, derived columns and supplier history of every invoice."""
-    joined = add_membership_flags(enrich_invoices(invoices, registry), flags)
-    return supplier_history(derive_columns(joined), HistoryColumns(tie_break=tie_break), fill=fill)
+    """Derived columns, supplier history, registry fields and membership flags of every invoice.
+
+    History comes first: its passes then read nothing but the invoice columns they need, and the
+    one large shuffle does not carry the names and addresses of the registry.
+    """
+    featured = supplier_history(derive_columns(invoices), HistoryColumns(tie_break=tie_break), fill=fill)
+    joined = enrich_invoices(featured, registry, small=small, check_unique=check_unique)
+    return add_membership_flags(joined, flags, small=small)
 
 
 def risk_cuts(scored: DataFrame, score: str = "probability") -> tuple[float, float]:
@@ -119,7 +126,9 @@ def train_and_score(
 
     Returns the bundle, the comparison table and the predictions.
     """
-    labelled = temporal_split(definitive(prepared).withColumn("label", F.col("incident"))).persist()
+    # Read by every fit of the comparison, so it is kept; so are the borders of the split.
+    prepared = prepared.persist()
+    labelled = temporal_split(definitive(prepared).withColumn("label", F.col("incident")))
     train, validation = (labelled.where(F.col("split") == s) for s in ("train", "validation"))
     trained, comparison = train_experiments(
         train,
