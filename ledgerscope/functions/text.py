@@ -93,13 +93,18 @@ def join_address(*parts: Column) -> Column:
 def normalize_state(value: Column, spellings: dict[str, str] | None = None) -> Column:
     """Canonical acceptance state: whole-text match first, then a spelling contained in the text."""
     table = {plain_ascii(k): v for k, v in (spellings or STATE_SPELLINGS).items()}
-    text = ascii_text(value)
-    chain = F.when(value.isNull(), F.lit(S.PENDING))
-    for spelling, state in table.items():
-        chain = chain.when(text == spelling, F.lit(state))
-    for spelling, state in table.items():
-        chain = chain.when(F.contains(text, F.lit(spelling)), F.lit(state))
-    return chain.otherwise(F.trim(value))
+
+    def lookup(text: Column) -> Column:
+        chain = F.when(text.isNull(), F.lit(S.PENDING))
+        for spelling, state in table.items():
+            chain = chain.when(text == spelling, F.lit(state))
+        for spelling, state in table.items():
+            chain = chain.when(F.contains(text, F.lit(spelling)), F.lit(state))
+        return chain
+
+    # The lambda argument is computed once; written out, every branch would clean the text again.
+    found = F.get(F.transform(F.array(ascii_text(value)), lookup), F.lit(0))
+    return F.coalesce(found, F.trim(value))
 
 
 def parse_amount(value: Column) -> Column:

@@ -22,48 +22,29 @@ def _pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def _category_correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+_TABLE = "variable string, source string, level string, is_category boolean, correlation double"
+
+
+def _category_correlations(df: DataFrame, columns: Sequence[str], target: str, rows: int, positives: int) -> DataFrame:
     levels = df.select(
         F.col(target).cast("bigint").alias("y"),
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns]
-            )
-        ).alias("e"),
+        F.inline(F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).cast("string").alias("level")) for c in columns])),
     )
-    counts = levels.groupBy("e.column", "e.level").agg(
-        F.count(F.lit(1)).alias("n_level"), F.coalesce(F.sum("y"), F.lit(0)).alias("y_level")
+    counts = levels.groupBy("source", "level").agg(
+        F.count(F.lit(1)).cast("double").alias("n_level"), F.sum("y").cast("double").alias("y_level")
     )
-    total = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(target).cast("bigint")), F.lit(0)).alias("y")).first()
-    n, y = float(total["n"]), float(total["y"])
-    n_level, y_level = F.col("n_level").cast("double"), F.col("y_level").cast("double")
-    top = n * y_level - n_level * y
+    n, y, n_level = float(rows), float(positives), F.col("n_level")
+    top = n * F.col("y_level") - n_level * y
     root = F.sqrt((n * n_level - n_level * n_level) * F.lit(n * y - y * y))
     return counts.select(
-        F.concat_ws("_", "column", F.coalesce("level", F.lit(NULL_LEVEL))).alias("variable"),
-        F.col("column").alias("source"),
+        F.concat_ws("_", "source", F.coalesce("level", F.lit(NULL_LEVEL))).alias("variable"),
+        "source",
         "level",
         F.lit(True).alias("is_category"),
         F.try_divide(top, root).alias("correlation"),
     )
 
 
-def _number_correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("variable"),
-                F.lit(c).alias("source"),
-                F.lit(None).cast("string").alias("level"),
-                F.lit(False).alias("is_category"),
-                _pearson(F.col(c).cast("double"), F.col(target).cast("double")).alias("correlation"),
-            )
-            for c in columns
-        ]
-    )
-    return df.agg(pairs.alias("pairs")).select(F.inline("pairs"))
-
-
 def target_correlations(
     df: DataFrame,
     numbers: Sequence[str],
@@ -72,15 +53,20 @@ def target_correlations(
 ) -> DataFrame:
     """Correlation of every variable with the 0/1 target; constants have none and are left out.
 
-    A missing number is ignored for its own pair; a missing category is a level of its own.
+    A missing number is ignored for its own pair; a missing category is a level of its own. One
+    aggregate gives all numbers and the totals that the categories need; it reaches the driver as a
+    single row.
     """
     known = df.where(F.col(target).isNotNull())
-    parts = []
-    if numbers:
-        parts.append(_number_correlations(known, numbers, target))
+    y = F.col(target).cast("double")
+    row = known.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.coalesce(F.sum(F.col(target).cast("bigint")), F.lit(0)).alias("_positives"),
+        *[_pearson(F.col(c).cast("double"), y).alias(c) for c in numbers],
+    ).first()
+    table = df.sparkSession.createDataFrame([(c, c, None, False, row[c]) for c in numbers], _TABLE)
     if categories:
-        parts.append(_category_correlations(known, categories, target))
-    table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        table = table.unionByName(_category_correlations(known, categories, target, row["_rows"], row["_positives"]))
     table = table.where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
     return table.withColumn("strength", F.abs("correlation"))
 

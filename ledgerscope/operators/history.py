@@ -53,17 +53,16 @@ def daily_prior(df: DataFrame, issued: str = "issued_ts", incident: str = "incid
             F.count(incident).alias("known"),
         )
     )
-    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    by_day = Window.orderBy("day")
+    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
     rates = daily.select(
         "day",
         F.coalesce(F.sum("incidents").over(earlier), F.lit(0)).alias("prior_incidents"),
         F.coalesce(F.sum("known").over(earlier), F.lit(0)).alias("prior_known"),
+        F.lead("day").over(by_day).isNull().alias("is_last"),
     ).withColumn("prior_rate", F.coalesce(F.try_divide("prior_incidents", "prior_known"), F.lit(0.0)))
-    last = rates.agg(
-        *[F.coalesce(F.max_by(c, "day"), F.lit(0)).alias(c) for c in ("prior_incidents", "prior_known")],
-        F.coalesce(F.max_by("prior_rate", "day"), F.lit(0.0)).alias("prior_rate"),
-    ).select(F.lit(None).cast("date").alias("day"), "prior_incidents", "prior_known", "prior_rate")
-    return rates.unionByName(last)
+    days = F.when(F.col("is_last"), F.array("day", F.lit(None).cast("date"))).otherwise(F.array("day"))
+    return rates.select(F.explode(days).alias("day"), "prior_incidents", "prior_known", "prior_rate")
 
 
 # --------------------------------------------------------------------------- ordinary suppliers
@@ -293,7 +292,7 @@ def supplier_history(
     features: dict[str, Column] = {
         "prev_count": F.col("_n"),
         "prev_incidents": known_incidents,
-        "prev_incident_rate": (known_incidents + F.col("prior_rate") * smoothing)
+        "prev_incident_rate": (known_incidents + F.coalesce("prior_rate", F.lit(0.0)) * smoothing)
         / (F.coalesce("_known", F.lit(0)) + F.lit(smoothing)),
         "prev_mean_amount": F.coalesce(F.try_divide(F.col("_amt_sum").cast("double"), F.col("_amt_n")), no_past),
         "prev_max_amount": F.coalesce(F.col("_amt_max").cast("double"), no_past),

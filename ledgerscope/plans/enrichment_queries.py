@@ -113,7 +113,9 @@ def dedup_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("enriched",),
 )
 def enriched_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = enrich.enrich_invoices(fx.invoices(spark, sf_dir), fx.registry(spark, sf_dir))
+    keys, few = fx.supplier_keys(spark, sf_dir)
+    found = enrich.filter_registry(fx.registry_raw(spark, sf_dir), keys, small=few)
+    joined = enrich.enrich_invoices(fx.invoices(spark, sf_dir), found, small=few)
     return joined.select(
         "row_no", "supplier_key", "amount", "registry_found", "irregular", "key_status", "domicile", "legal_name",
         "location_code", "address",
