@@ -110,7 +110,8 @@ def fit_preprocessor(
                 stringOrderType="alphabetAsc",
             )
         )
-        add(OneHotEncoder(inputCols=indexed, outputCols=encoded, handleInvalid="keep", dropLast=True))
+        # The indexer gives unseen levels the last index, and that is the column dropped here.
+        add(OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True))
         inputs += encoded
     if nums:
         add(VectorAssembler(inputCols=[f"_n_{n}" for n in nums], outputCol="_numbers"))
