@@ -35,7 +35,9 @@ KEY_DIGITS = 11
 def normalize_key(value: Column) -> Column:
     """Tax id as 11 digits: separators dropped, short ids padded, longer ones null."""
     digits = F.regexp_replace(value.cast("string"), "[^0-9]", "")
-    return F.when(F.length(digits).between(1, KEY_DIGITS), F.lpad(digits, KEY_DIGITS, "0"))
+    # No match gives an empty array and so null; a condition on the length would clean the text twice.
+    fitting = F.regexp_extract_all(digits, F.lit(f"^[0-9]{{1,{KEY_DIGITS}}}$"), F.lit(0))
+    return F.lpad(F.get(fitting, F.lit(0)), KEY_DIGITS, "0")
 
 
 def is_valid_key(value: Column) -> Column:

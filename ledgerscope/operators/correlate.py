@@ -80,11 +80,12 @@ def correlation_matrix(
 ) -> DataFrame:
     """Pairs (variable_a, variable_b, correlation) among the target and its strongest variables.
 
-    The names of at most ``top`` variables reach the driver; all pairs come from one aggregate.
+    The names of at most ``top`` variables reach the driver; all pairs come from one aggregate. Each
+    pair is named in alphabetical order.
     """
     known = df.where(F.col(target).isNotNull())
     strongest = (
-        target_correlations(known, numbers, categories, target).orderBy(F.desc("strength"), "variable").limit(top).collect()
+        target_correlations(known, numbers, categories, target).orderBy(F.desc(F.round("strength", 12)), "variable").limit(top).collect()
     )
 
     def column(row) -> Column:
@@ -105,6 +106,7 @@ def correlation_matrix(
     )
     table = rows.select("*", left).groupBy("a").agg(pairs.alias("pairs")).select("a", F.inline("pairs"))
     labels = F.array(*[F.lit(n) for n in names])
+    one, other = F.get(labels, F.col("a")), F.get(labels, F.col("b"))
     return table.where(F.col("a") < F.col("b")).select(
-        F.get(labels, F.col("a")).alias("variable_a"), F.get(labels, F.col("b")).alias("variable_b"), "correlation"
+        F.least(one, other).alias("variable_a"), F.greatest(one, other).alias("variable_b"), "correlation"
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 10_000
 HOT_KEY_ROWS = 1_000_000
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)

@@ -334,10 +334,33 @@ def target_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(table.select("variable", "correlation", "strength"))
 
 
-@query("correlation_matrix")
+def _variables_sql() -> str:
+    """Long form: one row per known invoice and variable, categories as 0/1 per level."""
+    parts = [f"SELECT row_no, '{c}' AS variable, CAST({c} AS DOUBLE) AS v FROM known" for c in ("incident", *_NUMBERS)]
+    for c in _CATEGORIES:
+        parts.append(
+            f"SELECT row_no, '{c}_' || coalesce(lvl, 'nan'), CAST({c} IS NOT DISTINCT FROM lvl AS DOUBLE) "
+            f"FROM known, (SELECT DISTINCT {c} AS lvl FROM known)"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "correlation_matrix",
+    f"""
+WITH known AS (SELECT * FROM derived WHERE incident IS NOT NULL),
+long AS ({_variables_sql()}),
+strength AS (SELECT a.variable, abs(corr(a.v, b.v)) AS s FROM long a JOIN long b ON a.row_no = b.row_no
+  WHERE b.variable = 'incident' AND a.variable <> 'incident' GROUP BY a.variable),
+chosen AS (SELECT * FROM long WHERE variable = 'incident' OR variable IN (
+  SELECT variable FROM strength WHERE s IS NOT NULL AND NOT isnan(s) ORDER BY round(s, 12) DESC, variable LIMIT 20))
+SELECT a.variable AS variable_a, b.variable AS variable_b, round(corr(a.v, b.v), 8) AS correlation
+FROM chosen a JOIN chosen b ON a.row_no = b.row_no AND a.variable < b.variable GROUP BY ALL""",
+    ("derived",),
+)
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = enrich.derive_columns(fx.enriched(spark, sf_dir))
-    return correlate.correlation_matrix(rows, _NUMBERS, _CATEGORIES)
+    return _rounded(correlate.correlation_matrix(rows, _NUMBERS, _CATEGORIES))
 
 
 # --------------------------------------------------------------------------- resampling

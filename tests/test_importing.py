@@ -28,7 +28,8 @@ def test_import(spark, tmp_path):
     (tmp_path / "in.csv").write_bytes(text.encode("latin-1"))
     source = invoices.read_delimited(spark, str(tmp_path / "in.csv"), encoding="ISO-8859-1")
     report = importing.import_history(source, str(tmp_path / "out"))
-    assert (report.rows, report.suppliers, report.states) == (2, 1, {"Aceptada": 1, "Rechazada": 1})
+    assert (report.rows, report.suppliers) == (2, 1)
+    assert sorted(report.states.collect()) == [("Aceptada", 1), ("Rechazada", 1)]
     assert (report.first_day, report.last_day) == (dt.date(2025, 1, 15), dt.date(2025, 1, 16))
     assert report.warnings[0].startswith("1 rows without a valid supplier key") and len(report.warnings) == 6
     rows = {r["invoice_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
