@@ -60,8 +60,7 @@ def _modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
         return {}
     entries = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
     counts = df.select(F.inline(entries)).where(F.col("v").isNotNull()).groupBy("c", "v").count()
-    ranked = counts.groupBy("c").agg(F.max("count").alias("n"))
-    top = counts.join(ranked, "c").where(F.col("count") == F.col("n")).groupBy("c").agg(F.min("v").alias("v"))
+    top = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("v"))
     return {row["c"]: row["v"] for row in top.collect()}  # one row per column
 
 
@@ -122,6 +121,11 @@ def fit_preprocessor(
     return PipelineModel(stages)
 
 
+def fill_missing_categories(df: DataFrame, columns: Sequence[str] = S.CATEGORICAL_FEATURES) -> DataFrame:
+    """Missing categories as a level of their own, for models that take categories as they are."""
+    return df.fillna(S.MISSING_CATEGORY, subset=[c for c in columns if c in df.columns])
+
+
 def with_class_weight(train: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weights: each class counts half, whatever its share."""
     row = train.agg(F.count_if(F.col(label) == 0).alias("n"), F.count_if(F.col(label) == 1).alias("p")).first()

@@ -1,7 +1,8 @@
 """The given tables seen as invoices, registry, lists and predictions.
 
 Each view exists twice: as a DataFrame for Spark and as a SQL text (``SQL_VIEWS``) for the oracle.
-Both are written from the same rules and keep every row of the table they come from.
+Both are written from the same rules. Every order is an invoice; the registry lists the customers
+outside one segment, so that some suppliers are not found.
 """
 
 from __future__ import annotations

@@ -29,6 +29,7 @@ from ledgerscope.operators.learn import (
 )
 from ledgerscope.operators.ranks import exact_quantiles
 from ledgerscope.operators.split import temporal_split
+from ledgerscope.sources.workspace import materialize
 
 DEFAULT_CUTS = (0.30, 0.60)
 
@@ -126,8 +127,9 @@ def train_and_score(
 
     Returns the bundle, the comparison table and the predictions.
     """
-    # Read by every fit of the comparison, so it is kept; so are the borders of the split.
-    prepared = prepared.persist()
+    # Read by every fit of the comparison: written once, so that a lost executor does not bring the
+    # whole preparation back.
+    prepared = materialize(prepared, "prepared")
     labelled = temporal_split(definitive(prepared).withColumn("label", F.col("incident")))
     train, validation = (labelled.where(F.col("split") == s) for s in ("train", "validation"))
     trained, comparison = train_experiments(

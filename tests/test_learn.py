@@ -57,6 +57,11 @@ def test_preprocessor_fills_and_encodes(spark):
     assert {r["w"] for r in weights} == {2.0}
 
 
+def test_missing_categories(spark):
+    df = spark.createDataFrame([(None, None), ("a", 1.0)], "doc_type string, amount double")
+    assert learn.fill_missing_categories(df).collect() == [("NA", None), ("a", 1.0)]
+
+
 def test_settings_are_repeatable():
     grid = {"a": (1, 2, 3), "b": (1, 2, 3), "c": (1, 2)}
     drawn = learn.sample_settings(grid)

@@ -39,5 +39,7 @@ def test_upsert_batches_can_be_repeated(spark):
 
 
 def test_materialize(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert workspace(spark, "t").startswith(f"{shared}/t-")
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     assert sorted(materialize(df, "t").collect()) == sorted(df.collect())
