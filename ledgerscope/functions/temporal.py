@@ -7,25 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accepted layouts. ISO is tried first, so ISO text is never read day-first.
-ISO_LAYOUTS = ("yyyy-M-d[ H:m[:s]]", "yyyy-M-d'T'H:m[:s]", "yyyy/M/d[ H:m[:s]]")
-DAY_FIRST_LAYOUTS = ("d/M/yyyy[ H:m[:s]]", "d-M-yyyy[ H:m[:s]]", "d.M.yyyy[ H:m[:s]]")
-MONTH_FIRST_LAYOUTS = ("M/d/yyyy[ H:m[:s]]", "M-d-yyyy[ H:m[:s]]", "M.d.yyyy[ H:m[:s]]")
+# Accepted layouts, with ``-`` for any of ``- / .`` and a blank for ``T``. ISO is told by
+# its shape, so ISO text is never read day-first.
+ISO_SHAPE = "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+OTHER_SHAPE = "^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}"
+TIME_SHAPE = "( [0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2})?)?$"
+ISO_LAYOUT = "yyyy-M-d[ H:m[:s]]"
+DAY_FIRST_LAYOUT = "d-M-yyyy[ H:m[:s]]"
+MONTH_FIRST_LAYOUT = "M-d-yyyy[ H:m[:s]]"
 
 MICROS_PER_DAY = 86_400_000_000
 
 
-def _first_layout(value: Column, layouts: Sequence[str]) -> Column:
-    text = F.trim(value)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(layout)) for layout in layouts])
+def _parse(value: Column, other_layout: str) -> Column:
+    """Only text of the right shape is parsed: a failing parse is costly."""
+    text = F.translate(F.trim(value), "/.T", "-- ")
+    return F.when(text.rlike(ISO_SHAPE + TIME_SHAPE), F.try_to_timestamp(text, F.lit(ISO_LAYOUT))).when(
+        text.rlike(OTHER_SHAPE + TIME_SHAPE), F.try_to_timestamp(text, F.lit(other_layout))
+    )
 
 
 def parse_day_first(value: Column) -> Column:
-    return _first_layout(value, ISO_LAYOUTS + DAY_FIRST_LAYOUTS)
+    return _parse(value, DAY_FIRST_LAYOUT)
 
 
 def parse_month_first(value: Column) -> Column:
-    return _first_layout(value, ISO_LAYOUTS + MONTH_FIRST_LAYOUTS)
+    return _parse(value, MONTH_FIRST_LAYOUT)
 
 
 def parse_date_columns(df: DataFrame, columns: Sequence[str], min_share: float = 0.5) -> DataFrame:
