@@ -62,29 +62,29 @@ def masked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "kpis",
     """SELECT count(*) AS pending, count(*) FILTER (WHERE tier = 'Alto') AS high_risk,
-  round(100.0 * CAST(count(*) FILTER (WHERE tier = 'Alto') AS DOUBLE) / count(*), 12) AS high_risk_pct,
+  round(100.0 * CAST(count(*) FILTER (WHERE tier = 'Alto') AS DOUBLE) / count(*), 10) AS high_risk_pct,
   count(*) FILTER (WHERE code = 1) AS flagged,
-  round(100.0 * CAST(count(*) FILTER (WHERE code = 1) AS DOUBLE) / count(*), 12) AS flagged_pct,
-  round(avg(probability), 12) AS mean_probability FROM predictions""",
+  round(100.0 * CAST(count(*) FILTER (WHERE code = 1) AS DOUBLE) / count(*), 10) AS flagged_pct,
+  round(avg(probability), 10) AS mean_probability FROM predictions""",
     ("predictions",),
 )
 def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = dashboard.kpis(fx.predictions(spark, sf_dir))
-    return row.withColumns({c: F.round(c, 12) for c in ("high_risk_pct", "flagged_pct", "mean_probability")})
+    return row.withColumns({c: F.round(c, 10) for c in ("high_risk_pct", "flagged_pct", "mean_probability")})
 
 
 @query(
     "tier_counts",
     """SELECT tier_order, d.tier, count(p.tier) AS n,
-  round(CAST(count(p.tier) AS DOUBLE) / (SELECT greatest(count(*), 1) FROM predictions), 12) AS share,
-  round(coalesce(avg(probability), 0.0), 12) AS mean_probability
+  round(CAST(count(p.tier) AS DOUBLE) / (SELECT greatest(count(*), 1) FROM predictions), 10) AS share,
+  round(coalesce(avg(probability), 0.0), 10) AS mean_probability
 FROM (SELECT unnest([0, 1, 2]) AS tier_order, unnest(['Bajo', 'Medio', 'Alto']) AS tier) d
 LEFT JOIN predictions p ON d.tier = p.tier GROUP BY tier_order, d.tier""",
     ("predictions",),
 )
 def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dashboard.tier_counts(fx.predictions(spark, sf_dir))
-    return table.withColumns({c: F.round(c, 12) for c in ("share", "mean_probability")})
+    return table.withColumns({c: F.round(c, 10) for c in ("share", "mean_probability")})
 
 
 _MONTHLY = """
@@ -96,26 +96,26 @@ WITH monthly AS (SELECT CAST(date_trunc('month', issued_ts) AS DATE) AS month, a
 
 @query(
     "risk_by_month",
-    _MONTHLY + "SELECT month, round(p, 12) AS mean_probability, high_risk, n FROM monthly",
+    _MONTHLY + "SELECT month, round(p, 10) AS mean_probability, high_risk, n FROM monthly",
     ("predictions",),
 )
 def risk_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.risk_by_month(fx.predictions(spark, sf_dir)).withColumn(
-        "mean_probability", F.round("mean_probability", 12)
+        "mean_probability", F.round("mean_probability", 10)
     )
 
 
 @query(
     "monthly_smooth",
     _MONTHLY
-    + """SELECT month, round(p, 12) AS mean_probability, high_risk, n,
-  round(avg(p) OVER (ORDER BY month ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 12) AS smoothed,
-  row_number() OVER (ORDER BY round(p, 12) DESC, month) = 1 AS is_peak FROM monthly""",
+    + """SELECT month, round(p, 10) AS mean_probability, high_risk, n,
+  round(avg(p) OVER (ORDER BY month ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 10) AS smoothed,
+  row_number() OVER (ORDER BY round(p, 10) DESC, month) = 1 AS is_peak FROM monthly""",
     ("predictions",),
 )
 def monthly_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     smooth = dashboard.monthly_smooth(dashboard.risk_by_month(fx.predictions(spark, sf_dir)))
-    return smooth.withColumns({c: F.round(c, 12) for c in ("mean_probability", "smoothed")})
+    return smooth.withColumns({c: F.round(c, 10) for c in ("mean_probability", "smoothed")})
 
 
 @query(
@@ -127,12 +127,12 @@ cells AS (SELECT doc_type, month, avg(probability) AS p, count(*) AS n FROM rows
   WHERE month IN (SELECT DISTINCT month FROM rows_ ORDER BY month DESC LIMIT 12) GROUP BY doc_type, month)
 SELECT doc_type, month, ['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Set','Oct','Nov','Dic'][month(month)]
     || ' ' || lpad(CAST(year(month) % 100 AS VARCHAR), 2, '0') AS month_label,
-  round(p, 12) AS mean_probability, n, round(avg(p) OVER (PARTITION BY doc_type), 12) AS row_mean FROM cells""",
+  round(p, 10) AS mean_probability, n, round(avg(p) OVER (PARTITION BY doc_type), 10) AS row_mean FROM cells""",
     ("predictions",),
 )
 def risk_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = dashboard.risk_heatmap(fx.predictions(spark, sf_dir))
-    return cells.withColumns({c: F.round(c, 12) for c in ("mean_probability", "row_mean")})
+    return cells.withColumns({c: F.round(c, 10) for c in ("mean_probability", "row_mean")})
 
 
 @query("risk_heatmap_wide")
@@ -167,7 +167,7 @@ def top_risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "top_risk_entities",
     f"""
-SELECT supplier_key, count(*) AS high_risk, round(avg(probability), 12) AS mean_probability,
+SELECT supplier_key, count(*) AS high_risk, round(avg(probability), 10) AS mean_probability,
   CAST(sum(CAST(amount AS DECIMAL(20, 4))) AS DOUBLE) AS amount, arg_min({_NAME}, row_no) AS name
 FROM predictions WHERE tier = 'Alto' AND supplier_key IS NOT NULL GROUP BY supplier_key
 ORDER BY high_risk DESC, avg(probability) DESC, supplier_key LIMIT 10""",
@@ -175,7 +175,7 @@ ORDER BY high_risk DESC, avg(probability) DESC, supplier_key LIMIT 10""",
 )
 def top_risk_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.top_risk_suppliers(fx.predictions(spark, sf_dir)).withColumn(
-        "mean_probability", F.round("mean_probability", 12)
+        "mean_probability", F.round("mean_probability", 10)
     )
 
 
@@ -185,8 +185,8 @@ _LABELS = dict(zip(S.LIST_FLAGS, ("withholding", "good taxpayer", "fuel percepti
 @query(
     "membership_risk",
     " UNION ALL ".join(
-        f"""SELECT '{label}' AS list, round(100 * avg(CAST(tier = 'Alto' AS INTEGER)) FILTER (WHERE {c} = 1), 12) AS inside_pct,
-  round(100 * coalesce(avg(CAST(tier = 'Alto' AS INTEGER)) FILTER (WHERE {c} <> 1), 0), 12) AS outside_pct,
+        f"""SELECT '{label}' AS list, round(100 * avg(CAST(tier = 'Alto' AS INTEGER)) FILTER (WHERE {c} = 1), 10) AS inside_pct,
+  round(100 * coalesce(avg(CAST(tier = 'Alto' AS INTEGER)) FILTER (WHERE {c} <> 1), 0), 10) AS outside_pct,
   count(*) FILTER (WHERE {c} = 1) AS invoices FROM predictions HAVING count(*) FILTER (WHERE {c} = 1) > 0"""
         for c, label in _LABELS.items()
     ),
@@ -194,7 +194,7 @@ _LABELS = dict(zip(S.LIST_FLAGS, ("withholding", "good taxpayer", "fuel percepti
 )
 def membership_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = dashboard.membership_risk(fx.predictions(spark, sf_dir), _LABELS)
-    return table.withColumns({c: F.round(c, 12) for c in ("inside_pct", "outside_pct")})
+    return table.withColumns({c: F.round(c, 10) for c in ("inside_pct", "outside_pct")})
 
 
 @query(

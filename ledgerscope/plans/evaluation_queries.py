@@ -10,7 +10,7 @@ from ledgerscope.operators.ranks import exact_quantiles
 from ledgerscope.plans import fixtures as fx
 from ledgerscope.plans.registry import query
 
-DIGITS = 12
+DIGITS = 10
 
 
 def _rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -80,15 +80,15 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _metric_columns(group: str = "") -> str:
     return f"""{group}
   tn AS true_negatives, fp AS false_positives, fn AS false_negatives, tp AS true_positives,
-  round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 12) AS accuracy,
-  round((tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2, 12) AS balanced_accuracy,
-  round(coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0), 12) AS precision,
-  round(tp / CAST(tp + fn AS DOUBLE), 12) AS recall,
-  round(coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0), 12) AS f1,
-  round(tn / CAST(tn + fp AS DOUBLE), 12) AS specificity,
+  round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 10) AS accuracy,
+  round((tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2, 10) AS balanced_accuracy,
+  round(coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0), 10) AS precision,
+  round(tp / CAST(tp + fn AS DOUBLE), 10) AS recall,
+  round(coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0), 10) AS f1,
+  round(tn / CAST(tn + fp AS DOUBLE), 10) AS specificity,
   round(coalesce((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn)
-    / nullif(sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 12) AS mcc,
-  round(100 * ((tp + fp) / CAST(tp + fp + fn + tn AS DOUBLE)), 12) AS flagged_pct"""
+    / nullif(sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 10) AS mcc,
+  round(100 * ((tp + fp) / CAST(tp + fp + fn + tn AS DOUBLE)), 10) AS flagged_pct"""
 
 
 def _cells(threshold: str) -> str:
@@ -119,7 +119,7 @@ ranking AS (SELECT experiment, model, sum(pos * (CAST(tp AS DOUBLE) / (tp + fp))
 
 @query(
     "average_precision",
-    f"WITH {_CUMULATIVE.strip()} SELECT experiment, model, round(pr_auc, 12) AS pr_auc FROM ranking",
+    f"WITH {_CUMULATIVE.strip()} SELECT experiment, model, round(pr_auc, 10) AS pr_auc FROM ranking",
     ("model_scores",),
 )
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH ranked AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mid
   FROM scores)
-SELECT round((sum(mid) FILTER (WHERE label = 1) - p * (p + 1) / 2.0) / (p * CAST(n AS DOUBLE)), 12) AS roc_auc
+SELECT round((sum(mid) FILTER (WHERE label = 1) - p * (p + 1) / 2.0) / (p * CAST(n AS DOUBLE)), 10) AS roc_auc
 FROM ranked, (SELECT count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM scores)
 GROUP BY p, n""",
     ("scores",),
@@ -148,8 +148,8 @@ WITH g AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILT
   FROM scores GROUP BY score),
 c AS (SELECT score, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp,
   sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM g WINDOW w AS (ORDER BY score DESC))
-SELECT score, tp, fp, round(tp / CAST(tp + fp AS DOUBLE), 12) AS precision, round(tp / CAST(p AS DOUBLE), 12) AS recall,
-  round(fp / CAST(n AS DOUBLE), 12) AS false_positive_rate FROM c""",
+SELECT score, tp, fp, round(tp / CAST(tp + fp AS DOUBLE), 10) AS precision, round(tp / CAST(p AS DOUBLE), 10) AS recall,
+  round(fp / CAST(n AS DOUBLE), 10) AS false_positive_rate FROM c""",
     ("scores",),
 )
 def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +161,7 @@ def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH e AS (SELECT {", ".join(f"quantile_cont(score, 0.{i}) AS e{i}" for i in range(1, 10))} FROM scores)
 SELECT CAST({" + ".join(f"CAST(score > e{i} AS INTEGER)" for i in range(1, 10))} AS INTEGER) AS bin,
-  round(avg(score), 12) AS mean_score, round(avg(CAST(label AS DOUBLE)), 12) AS positive_share, count(*) AS n
+  round(avg(score), 10) AS mean_score, round(avg(CAST(label AS DOUBLE)), 10) AS positive_share, count(*) AS n
 FROM scores, e GROUP BY 1""",
     ("scores",),
 )
@@ -169,7 +169,7 @@ def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.calibration_bins(fx.scores(spark, sf_dir)))
 
 
-@query("brier", "SELECT round(avg((score - label) * (score - label)), 12) AS brier FROM scores", ("scores",))
+@query("brier", "SELECT round(avg((score - label) * (score - label)), 10) AS brier FROM scores", ("scores",))
 def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.brier(fx.scores(spark, sf_dir)))
 
@@ -214,8 +214,8 @@ def selected_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MODEL_COLUMNS = (
     "experiment, model, threshold, true_negatives, false_positives, false_negatives, true_positives, accuracy, "
-    "balanced_accuracy, precision, recall, f1, specificity, mcc, flagged_pct, round(pr_auc, 12) AS pr_auc, "
-    "round(roc_auc, 12) AS roc_auc, round(brier, 12) AS brier"
+    "balanced_accuracy, precision, recall, f1, specificity, mcc, flagged_pct, round(pr_auc, 10) AS pr_auc, "
+    "round(roc_auc, 10) AS roc_auc, round(brier, 10) AS brier"
 )
 
 
@@ -353,7 +353,7 @@ long AS ({_variables_sql()}),
 strength AS (SELECT a.variable, abs(corr(a.v, b.v)) AS s FROM long a JOIN long b ON a.row_no = b.row_no
   WHERE b.variable = 'incident' AND a.variable <> 'incident' GROUP BY a.variable),
 chosen AS (SELECT * FROM long WHERE variable = 'incident' OR variable IN (
-  SELECT variable FROM strength WHERE s IS NOT NULL AND NOT isnan(s) ORDER BY round(s, 12) DESC, variable LIMIT 20))
+  SELECT variable FROM strength WHERE s IS NOT NULL AND NOT isnan(s) ORDER BY round(s, 10) DESC, variable LIMIT 20))
 SELECT a.variable AS variable_a, b.variable AS variable_b, round(corr(a.v, b.v), 8) AS correlation
 FROM chosen a JOIN chosen b ON a.row_no = b.row_no AND a.variable < b.variable GROUP BY ALL""",
     ("derived",),
