@@ -1,25 +1,24 @@
-"""Places for intermediate tables."""
+"""Places for intermediate tables.
+
+Tables stay until the folder is emptied: a lost executor, or a restarted stream, may read them again. Empty it when no
+job runs.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder of the cluster.
-
-    Only a local session without that setting falls back to a temporary folder of the machine.
-    """
-    base = spark.conf.get(CHECKPOINT_SETTING, None)
+    """A new folder name under the shared folder of the cluster, which the session must name."""
+    base = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"{CHECKPOINT_SETTING} is not set")
-        base = tempfile.mkdtemp(prefix="ledgerscope-")
+        raise RuntimeError(f"{CHECKPOINT_SETTING} is not set")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -32,10 +31,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table can be read there."""
-    from pyspark.errors import AnalysisException
-
     try:
         spark.read.parquet(path)
-    except AnalysisException:
-        return False
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
     return True
