@@ -19,11 +19,11 @@ import heapq
 import json
 import struct
 import unicodedata
-from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 from ledgerscope.llm.common import table, whole_text, without
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 700_000
+CACHE = 250_000
+ROWS_AT_ONCE = 128
 RESULTS = ("n_tokens", "ids", "packed", "decoded")
 
 
@@ -145,7 +146,7 @@ class Encoder:
             packed = b"".join([(known.get(p) or self.word(p))[0] for p in pieces])
         if len(known) >= self.cache:
             known.clear()
-        known[word] = found = (packed, self.decode(_unpacked(packed)))
+        known[word] = found = (packed, self.decode(_unpacked(packed).tolist()))
         return found
 
     def parts(self, text: str) -> list[tuple[bytes, str]]:
@@ -176,66 +177,59 @@ class Encoder:
         return " ".join([strings[i] for i in ids if i < len(strings)])
 
 
-def _coder(tables, part: Callable[[Encoder, pd.Series], pd.DataFrame]) -> Callable:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        # A worker holds its copy of the broadcast over many tasks, and with it what it has encoded before.
-        encoder = Encoder(tables.value)
-        for texts in batches:
-            yield part(encoder, texts)
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return run
-
-
-def _unpacked(packed: bytes) -> array:
-    ids = array("I")
-    ids.frombytes(packed)
-    if array("I", [1]).tobytes()[0] != 1:  # pragma: no cover - big-endian machines
-        ids.byteswap()
-    return ids
-
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u4")
 
-def _encoded(encoder: Encoder, texts: pd.Series) -> pd.DataFrame:
-    both = [encoder.encode_decode(t) for t in texts]
-    return pd.DataFrame({"packed": [p for p, _ in both], "decoded": [d for _, d in both]})
 
+def _token_lists(packed: list[bytes]) -> pa.Array:
+    """Packed tokens as one array of lists, without an object per token."""
+    ends = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
+    values = np.frombuffer(b"".join(packed), "<i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
-def _tokens(encoder: Encoder, texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"ids": [_unpacked(encoder.encode(t)).tolist() for t in texts]})
 
+def _coded(docs: DataFrame, text_col: str, path: str | None, decode: bool) -> DataFrame:
+    """Rows through the encoder, few at a time, so that what a worker holds does not depend on Spark's batches."""
+    docs = without(docs, *RESULTS)
+    added = [T.StructField("n_tokens", T.LongType())] + (
+        [T.StructField("packed", T.BinaryType()), T.StructField("decoded", T.StringType())]
+        if decode
+        else [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    )
+    tables = docs.sparkSession.sparkContext.broadcast(
+        prepare(load_vocabulary(path or public_tokenizers.path(TOKENIZER)))
+    )
+    place, rows_at_once = docs.columns.index(text_col), ROWS_AT_ONCE
 
-def _tables(spark: SparkSession, path: str | None):
-    return spark.sparkContext.broadcast(prepare(load_vocabulary(path or public_tokenizers.path(TOKENIZER))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A worker holds its copy of the broadcast over many tasks, and with it what it has encoded before.
+        encoder = Encoder(tables.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                texts = [t or "" for t in part.column(place).to_pylist()]
+                both = [encoder.encode_decode(t) for t in texts] if decode else [(encoder.encode(t), "") for t in texts]
+                packed = [p for p, _ in both]
+                counts = pa.array([len(p) // 4 for p in packed], pa.int64())
+                more = (
+                    [pa.array(packed, pa.binary()), pa.array([d for _, d in both], pa.string())]
+                    if decode
+                    else [_token_lists(packed)]
+                )
+                names = [*part.schema.names, *[f.name for f in added]]
+                yield pa.RecordBatch.from_arrays([*part.columns, counts, *more], names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """All rows with ``n_tokens`` and ``ids``."""
-    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    tokens = F.pandas_udf(_coder(_tables(docs.sparkSession, path), _tokens), kind)
-    return (
-        without(docs, *RESULTS)
-        .withColumn("_bp", tokens(whole_text(text_col)))
-        .withColumns({"n_tokens": F.size("_bp.ids").cast("long"), "ids": F.col("_bp.ids")})
-        .drop("_bp")
-    )
+    return _coded(docs, text_col, path, decode=False)
 
 
 def encode_decode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """All rows with ``n_tokens``, ``packed`` (the ids as little-endian 32-bit integers) and ``decoded``."""
-    kind = T.StructType([T.StructField("packed", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    both = F.pandas_udf(_coder(_tables(docs.sparkSession, path), _encoded), kind)
-    return (
-        without(docs, *RESULTS)
-        .withColumn("_bp", both(whole_text(text_col)))
-        .withColumns(
-            {
-                "n_tokens": (F.octet_length("_bp.packed") / 4).cast("long"),
-                "packed": F.col("_bp.packed"),
-                "decoded": F.col("_bp.decoded"),
-            }
-        )
-        .drop("_bp")
-    )
+    return _coded(docs, text_col, path, decode=True)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
