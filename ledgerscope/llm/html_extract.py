@@ -291,7 +291,8 @@ def _main_texts(pages: pd.Series) -> pd.Series:
 
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All rows with ``text`` and ``n_chars``, its code points."""
-    found = without(pages, *RESULTS).withColumn("text", _main_texts(whole_text(html_col)))
+    found = without(pages.withColumn("_he_text", _main_texts(whole_text(html_col))), *RESULTS)
+    found = found.withColumnRenamed("_he_text", "text")
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
