@@ -62,10 +62,12 @@ def test_random_texts(spark):
 
 
 def test_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     check(spark, [r["text"] for r in docs])
-    got = {r["doc_id"]: r for r in S.op4_secret_scan(spark, "/root/testdata/sf0.001").collect()}
+    got = {r["doc_id"]: r for r in S.op4_secret_scan(spark, "/root/testdata/sf0.01").collect()}
     for r in docs:
         spans = plain_spans(r["text"] or "")
         assert got[r["doc_id"]]["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
-        assert got[r["doc_id"]]["n_assign"] == sum(s[3] == "assign" for s in spans)
+        for k in ("assign", "access", "hex"):
+            assert got[r["doc_id"]][f"n_{k}"] == sum(s[3] == k for s in spans)
+    assert sum(r["n_assign"] for r in got.values()) > 0
