@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ledgerscope import schema as S
 from ledgerscope.functions.text import best_name, mask, month_label
+from ledgerscope.operators.history import money
 from ledgerscope.operators.ranks import exact_quantiles
 
 
@@ -152,7 +153,7 @@ def top_risk_suppliers(pred: DataFrame, limit: int = 10, order: str = "row_no")
         .agg(
             F.count(F.lit(1)).alias("high_risk"),
             F.avg("probability").alias("mean_probability"),
-            F.sum(F.col("amount").cast("decimal(20,4)")).cast("double").alias("amount"),
+            F.try_sum(money(F.col("amount"))).cast("double").alias("amount"),
             F.min_by(supplier_name(pred), F.col(order)).alias("name"),
         )
     )

@@ -21,7 +21,13 @@ from ledgerscope.functions.temporal import MICROS_PER_DAY, whole_days
 from ledgerscope.operators.ranks import exact_quantiles
 from ledgerscope.operators.skew import HOT_KEY_ROWS, HotKeys, hot_keys, null_safe_key
 
-MONEY = "decimal(20,4)"
+MONEY = "decimal(38,6)"
+
+
+def money(amount: Column) -> Column:
+    """An exact amount, so that sums do not depend on partitioning; null if it is too large or not a number."""
+    return amount.try_cast(MONEY)
+
 MAX_SLICES = 4096  # per supplier
 MAX_CUTS = 20_000  # over all hot suppliers, besides one cut each
 SAMPLES_PER_SLICE = 16
@@ -257,7 +263,7 @@ def supplier_history(
             "_key": null_safe_key(F.col(columns.key)),
             "_at": F.coalesce(micros, F.lit(LAST)),
             "_tie": F.col(columns.tie_break).cast("bigint"),
-            "_amount": F.col(columns.amount).cast(MONEY),
+            "_amount": money(F.col(columns.amount)),
             "_incident": F.col(columns.incident).cast("bigint"),
         }
     )
@@ -316,7 +322,7 @@ def supplier_history(
 def _with_past_mean(rows: DataFrame, df: DataFrame, columns: HistoryColumns) -> tuple[DataFrame, Column]:
     """Attach the mean amount of all strictly earlier days (of all days for a missing date)."""
     daily = df.groupBy(F.to_date(columns.issued).alias("_day")).agg(
-        F.sum(F.col(columns.amount).cast(MONEY)).alias("s"), F.count(columns.amount).alias("n")
+        F.try_sum(money(F.col(columns.amount))).alias("s"), F.count(money(F.col(columns.amount))).alias("n")
     )
     earlier = Window.orderBy(F.col("_day").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     means = daily.select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope import schema as S
 from ledgerscope.functions.text import normalize_key
-from ledgerscope.operators.history import MONEY
+from ledgerscope.operators.history import MONEY, money
 
 _COUNTS = ("invoices", "accepted", "observed", "rejected", "pending", "amount_count")
 
@@ -41,8 +41,8 @@ def partial_summary(df: DataFrame) -> DataFrame:
             F.count_if(state == S.OBSERVED).alias("observed"),
             F.count_if(state == S.REJECTED).alias("rejected"),
             F.count_if(state.isin(*S.PENDING_STATES)).alias("pending"),
-            F.coalesce(F.sum(F.col("amount").cast(MONEY)), F.lit(0)).alias("amount_sum"),
-            F.count("amount").alias("amount_count"),
+            F.coalesce(F.try_sum(money(F.col("amount"))), F.lit(0).cast(MONEY)).alias("amount_sum"),
+            F.count(money(F.col("amount"))).alias("amount_count"),
             F.min("issued_ts").alias("first_issued"),
             F.max("issued_ts").alias("last_issued"),
         )

@@ -168,7 +168,7 @@ def top_risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     "top_risk_entities",
     f"""
 SELECT supplier_key, count(*) AS high_risk, round(avg(probability), 10) AS mean_probability,
-  CAST(sum(CAST(amount AS DECIMAL(20, 4))) AS DOUBLE) AS amount, arg_min({_NAME}, row_no) AS name
+  CAST(sum(TRY_CAST(amount AS DECIMAL(38, 6))) AS DOUBLE) AS amount, arg_min({_NAME}, row_no) AS name
 FROM predictions WHERE tier = 'Alto' AND supplier_key IS NOT NULL GROUP BY supplier_key
 ORDER BY high_risk DESC, avg(probability) DESC, supplier_key LIMIT 10""",
     ("predictions",),

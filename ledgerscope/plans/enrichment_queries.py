@@ -324,13 +324,13 @@ def _history_sql(no_past: str) -> str:
     return f"""
 WITH {_PRIOR_SQL.strip()},
 mid AS (SELECT quantile_cont(amount, 0.5) AS m FROM invoices),
-day_amounts AS (SELECT CAST(issued_ts AS DATE) AS day, sum(CAST(amount AS DECIMAL(20, 4))) AS s, count(amount) AS n
+day_amounts AS (SELECT CAST(issued_ts AS DATE) AS day, sum(TRY_CAST(amount AS DECIMAL(38, 6))) AS s, count(amount) AS n
   FROM derived GROUP BY 1),
 past AS (SELECT day, CASE WHEN sum(n) OVER w > 0 THEN CAST(sum(s) OVER w AS DOUBLE) / sum(n) OVER w ELSE 0.0 END AS past_mean
   FROM day_amounts WINDOW w AS (ORDER BY day NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 w AS (SELECT *, row_number() OVER o - 1 AS n_prev, coalesce(sum(incident) OVER p, 0) AS inc_prev,
-    count(incident) OVER p AS known_prev, sum(CAST(amount AS DECIMAL(20, 4))) OVER p AS amt_prev,
-    count(amount) OVER p AS amt_n, max(CAST(amount AS DECIMAL(20, 4))) OVER p AS amt_max,
+    count(incident) OVER p AS known_prev, sum(TRY_CAST(amount AS DECIMAL(38, 6))) OVER p AS amt_prev,
+    count(amount) OVER p AS amt_n, max(TRY_CAST(amount AS DECIMAL(38, 6))) OVER p AS amt_max,
     lag(issued_ts) OVER o AS prev_ts,
     count(*) OVER r30 AS old_n30, coalesce(sum(incident) OVER r30, 0) AS old_i30,
     count(*) OVER r90 AS old_n90, coalesce(sum(incident) OVER r90, 0) AS old_i90
