@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerscope import schema as S
-from ledgerscope.operators.ranks import SLICES, exact_quantiles, running_totals
+from ledgerscope.operators.ranks import exact_quantiles, running_totals
 
 FIRST_PERCENT, LAST_PERCENT = 5, 95
 COMPARED = ("pr_auc", "f1", "recall", "precision", "false_positives", "false_negatives")
@@ -41,7 +41,7 @@ def cumulative_scores(
     *,
     score: str = "score",
     within: Sequence[str] = (),
-    slices: int = SLICES,
+    slices: int | None = None,
     cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """True and false positives when everything from this score upward is flagged."""

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerscope import schema as S
 from ledgerscope.functions.temporal import whole_days
 from ledgerscope.functions.text import is_valid_key
-from ledgerscope.operators.ranks import exact_quantiles
+from ledgerscope.operators.history import money
+from ledgerscope.operators.ranks import exact_quantiles_of
 
 
 def _tall(row: DataFrame, names: Sequence[str], name: str, value: str) -> DataFrame:
@@ -63,9 +65,9 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], small_rows: int | No
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
     limits = {} if small_rows is None else {"small_rows": small_rows}
     stats = []
+    found = exact_quantiles_of(df, dict.fromkeys(columns, (0.25, 0.5, 0.75)), **limits)
     for c in columns:
-        value = F.col(c).cast("double")
-        quartiles = exact_quantiles(df, c, (0.25, 0.5, 0.75), **limits)
+        value, quartiles = F.col(c).cast("double"), found[c]
         stats.append(
             F.struct(
                 F.lit(c).alias("column_name"),
@@ -89,11 +91,13 @@ def term_days(due: Column, issued: Column) -> Column:
     return whole_days(due.cast("timestamp"), issued.cast("timestamp"))
 
 
-def quality_flags(df: DataFrame, raw_amount: str | None = None, raw_dates: dict[str, str] | None = None) -> DataFrame:
+def quality_flags(
+    df: DataFrame, raw_amount: str | None = None, raw_dates: dict[str, str] | None = None, uncountable: bool = False
+) -> DataFrame:
     """One Boolean column per quality rule.
 
     ``raw_amount`` and ``raw_dates`` (raw column -> parsed column) add the rules for text that could
-    not be converted.
+    not be converted. ``uncountable`` adds the rule for amounts that sums leave out: not numbers, or too large.
     """
     low, high = (F.lit(d).cast("timestamp") for d in S.PLAUSIBLE_DATES)
     present = [c for c in S.DATE_COLUMNS if c in df.columns]
@@ -105,6 +109,8 @@ def quality_flags(df: DataFrame, raw_amount: str | None = None, raw_dates: dict[
         "due_before_issue": F.coalesce(term_days(F.col("due_ts"), F.col("issued_ts")) < 0, F.lit(False)),
         "date_out_of_range": outside,
     }
+    if uncountable:
+        flags["amount_not_countable"] = F.col("amount").isNotNull() & money(F.col("amount")).isNull()
     if raw_amount is not None:
         flags["amount_unreadable"] = F.col(raw_amount).isNotNull() & F.col("amount").isNull()
     for raw, parsed in (raw_dates or {}).items():
@@ -120,23 +126,23 @@ def quality_issues(
     examples: int = 20,
     raw_amount: str | None = None,
     raw_dates: dict[str, str] | None = None,
+    uncountable: bool = False,
 ) -> DataFrame:
     """Rows per broken rule and the first ids that break it, in the order of ``order``.
 
     The examples are kept by a top-k per rule, never by sorting all rows of a rule in one task.
     """
-    flagged = quality_flags(df, raw_amount, raw_dates)
+    flagged = quality_flags(df, raw_amount, raw_dates, uncountable)
     rules = [c for c in flagged.columns if c not in df.columns]
     counts = _tall(flagged.agg(*[F.count_if(F.col(r)).alias(r) for r in rules]), rules, "rule", "rows")
-    tops = None
-    for rule in rules:
-        top = (
-            flagged.where(F.col(rule))
-            .select(F.lit(rule).alias("rule"), F.col(order).alias("_order"), F.col(id_column).alias("_id"))
-            .orderBy("_order")
-            .limit(examples)
-        )
-        tops = top if tops is None else tops.unionByName(top)
+    broken = flagged.select(
+        F.col(order).alias("_order"),
+        F.col(id_column).alias("_id"),
+        F.explode(F.filter(F.array(*[F.when(F.col(r), F.lit(r)) for r in rules]), lambda r: r.isNotNull())).alias("rule"),
+    )
+    # Spark keeps the first rows of each rule in every task, before the shuffle.
+    first = Window.partitionBy("rule").orderBy("_order")
+    tops = broken.withColumn("_row", F.row_number().over(first)).where(F.col("_row") <= examples)
     lists = tops.groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("_order", "_id"))).alias("_ids"))
     joined = counts.join(F.broadcast(lists), "rule", "left")  # one row per rule on both sides
     ids = F.array_join(F.transform("_ids", lambda e: e["_id"]), ",")

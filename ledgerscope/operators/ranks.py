@@ -7,7 +7,8 @@ sorts everything in one task. Both are used here only below a checked size.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -16,49 +17,114 @@ from pyspark.sql.window import Window
 
 SMALL_ROWS = 1_000_000
 HISTOGRAM_BINS = 4096
-SLICES = 256
+SLICES, SLICE_ROWS = 256, 1_000_000
 
 
-def _value_at_rank(df: DataFrame, value: str, rank: int, low, high, total: int, bins: int):
-    """The value at a zero-based rank, by narrowing a histogram around it.
+@dataclass
+class _Bracket:
+    """Where the value at a rank lies: between two values that occur, ``rank`` places after the lower one."""
 
-    Each pass scans the bracket and brings at most ``bins`` rows to the driver. Bin borders are
-    computed in one monotone expression and the new bracket is made of values that occur, so the
-    answer is exact whatever the rounding.
-    """
-    column = F.col(value)
-    while low < high:
-        width = float(high) - float(low)
-        inside = df.where(column.between(F.lit(low), F.lit(high)))
-        if total <= bins:
-            counts = inside.groupBy(column.alias("lo")).agg(F.count(F.lit(1)).alias("n"))
-            table = counts.withColumn("hi", F.col("lo")).collect()
+    column: str
+    rank: int
+    low: object
+    high: object
+    rows: int
+
+    def bin_of(self, bins: int) -> Column:
+        """The bin of a row inside the bracket; null outside. Few rows get a bin per value."""
+        value = F.col(self.column)
+        if self.rows <= bins:
+            at = value.cast("double")
         else:
-            position = (column.cast("double") - F.lit(float(low))) / F.lit(width) * bins
-            bin_id = F.least(F.greatest(F.floor(position), F.lit(0)), F.lit(bins - 1))
-            table = (
-                inside.groupBy(bin_id.alias("bin"))
-                .agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(F.lit(1)).alias("n"))
-                .collect()
-            )
+            width = float(self.high) - float(self.low)
+            position = (value.cast("double") - F.lit(float(self.low))) / F.lit(width) * bins
+            at = F.least(F.greatest(F.floor(position), F.lit(0)), F.lit(bins - 1)).cast("double")
+        return F.when(value.between(F.lit(self.low), F.lit(self.high)), at)
+
+    def narrowed(self, table: Sequence) -> None:
         for row in sorted(table, key=lambda r: r["lo"]):
-            if rank < row["n"]:
-                low, high, total = row["lo"], row["hi"], row["n"]
-                break
-            rank -= row["n"]
-    return low
+            if self.rank < row["n"]:
+                self.low, self.high, self.rows = row["lo"], row["hi"], row["n"]
+                return
+            self.rank -= row["n"]
+
 
+def values_at_ranks_of(
+    df: DataFrame, ranks: Mapping[str, Sequence[int]], bins: int = HISTOGRAM_BINS
+) -> dict[str, dict[int, object]]:
+    """Exact values at zero-based ranks of several numeric columns of one type; nulls are not counted.
 
-def values_at_ranks(
-    df: DataFrame, value: str, ranks: Sequence[int], bins: int = HISTOGRAM_BINS
-) -> list:
+    All ranks are narrowed together: each pass is one aggregate over the table, which puts the rows of
+    every open bracket into at most ``bins`` bins and brings those to the driver. Bin borders are computed in one
+    monotone expression and the new bracket is made of values that occur, so the answer is exact
+    whatever the rounding.
+    """
+    columns = list(ranks)
+    stats = df.agg(
+        *[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]
+    ).first()
+    found = {
+        (c, r): _Bracket(c, r, stats[c]["lo"], stats[c]["hi"], stats[c]["n"]) for c in columns for r in set(ranks[c])
+    }
+    while open_ := [(k, b) for k, b in found.items() if b.low < b.high]:
+        same: dict[tuple, int] = {}
+        for _, b in open_:
+            same.setdefault((b.column, b.low, b.high), len(same))
+        shown = {same[b.column, b.low, b.high]: b for _, b in open_}
+        entries = [
+            F.when(
+                b.bin_of(bins).isNotNull(),
+                F.struct(F.lit(i).alias("bracket"), b.bin_of(bins).alias("bin"), F.col(b.column).alias("value")),
+            )
+            for i, b in shown.items()
+        ]
+        rows = df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
+        table = (
+            rows.groupBy("e.bracket", "e.bin")
+            .agg(F.min("e.value").alias("lo"), F.max("e.value").alias("hi"), F.count(F.lit(1)).alias("n"))
+            .collect()
+        )
+        for _, b in open_:
+            b.narrowed([r for r in table if r["bracket"] == same[b.column, b.low, b.high]])
+    return {c: {r: found[c, r].low for r in ranks[c]} for c in columns}
+
+
+def values_at_ranks(df: DataFrame, value: str, ranks: Sequence[int], bins: int = HISTOGRAM_BINS) -> list:
     """Exact values at zero-based ranks of a numeric column; nulls are not counted."""
-    df = df.select(value).where(F.col(value).isNotNull())
-    stats = df.agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    found = {r: _value_at_rank(df, value, r, stats["lo"], stats["hi"], stats["n"], bins) for r in set(ranks)}
+    found = values_at_ranks_of(df.select(value), {value: ranks}, bins)[value]
     return [found[r] for r in ranks]
 
 
+def exact_quantiles_of(
+    df: DataFrame,
+    quantiles: Mapping[str, Sequence[float]],
+    small_rows: int = SMALL_ROWS,
+    bins: int = HISTOGRAM_BINS,
+) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns, with linear interpolation between neighbours.
+
+    Columns of up to ``small_rows`` values have them from the built-in ``percentile``, all in one aggregate; of the
+    longer ones, the two neighbours of each quantile are selected by histogram passes for all together.
+    """
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in quantiles])
+    counts = df.agg(*[F.count(c).alias(c) for c in quantiles]).first()
+    result: dict[str, list[float | None]] = {c: [None] * len(qs) for c, qs in quantiles.items()}
+    short = [c for c in quantiles if 0 < counts[c] <= small_rows]
+    if short:
+        row = df.agg(*[F.percentile(c, F.array(*[F.lit(q) for q in quantiles[c]])).alias(c) for c in short]).first()
+        result |= {c: list(row[c]) for c in short}
+    long = {c: [(counts[c] - 1) * q for q in quantiles[c]] for c in quantiles if counts[c] > small_rows}
+    if long:
+        ranks = {c: sorted({r for p in ps for r in (math.floor(p), math.ceil(p))}) for c, ps in long.items()}
+        at = values_at_ranks_of(df, ranks, bins)
+        for c, positions in long.items():
+            result[c] = []
+            for p in positions:
+                low, high, share = at[c][math.floor(p)], at[c][math.ceil(p)], p - math.floor(p)
+                result[c].append((math.ceil(p) - p) * low + share * high if share else low)
+    return result
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -66,26 +132,8 @@ def exact_quantiles(
     small_rows: int = SMALL_ROWS,
     bins: int = HISTOGRAM_BINS,
 ) -> list[float | None]:
-    """Exact quantiles with linear interpolation between neighbours.
-
-    Up to ``small_rows`` rows the built-in ``percentile`` does it in one aggregate; beyond that the
-    two neighbours of each quantile are selected by histogram passes.
-    """
-    df = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = df.count()
-    if n == 0:
-        return [None] * len(quantiles)
-    if n <= small_rows:
-        return list(df.agg(F.percentile("v", F.array(*[F.lit(q) for q in quantiles])).alias("q")).first()["q"])
-    positions = [(n - 1) * q for q in quantiles]
-    ranks = sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
-    at = dict(zip(ranks, values_at_ranks(df, "v", ranks, bins), strict=True))
-    result = []
-    for p in positions:
-        low, high = at[math.floor(p)], at[math.ceil(p)]
-        share = p - math.floor(p)
-        result.append((math.ceil(p) - p) * low + share * high if share else low)
-    return result
+    """Exact quantiles of one column, with linear interpolation between neighbours; ``None`` without values."""
+    return exact_quantiles_of(df, {value: quantiles}, small_rows, bins)[value]
 
 
 def rows_at_ranks(
@@ -112,8 +160,13 @@ def rows_at_ranks(
     return [found.get(r) for r in ranks]
 
 
-def cut_points(df: DataFrame, value: str, slices: int = SLICES) -> list[float]:
-    """Increasing values that cut a numeric column into about equal parts; at most ``slices - 1``."""
+def cut_points(df: DataFrame, value: str, slices: int | None = None) -> list[float]:
+    """Increasing values that cut a numeric column into about equal parts; at most ``slices - 1``.
+
+    Without ``slices`` there are ``SLICES``, and more where a slice would have more than ``SLICE_ROWS`` rows.
+    """
+    if slices is None:
+        slices = max(SLICES, -(-df.count() // SLICE_ROWS))
     shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     row = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, F.lit(slices * 50)).alias("q")).first()
     return sorted(set(row["q"] or []))
@@ -126,7 +179,7 @@ def running_totals(
     *,
     within: Sequence[str] = (),
     descending: bool = True,
-    slices: int = SLICES,
+    slices: int | None = None,
     cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add running totals (current row included) in the order of ``value`` over the whole table.

@@ -46,8 +46,10 @@ def parsed_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "parsed_dates",
     """
-SELECT row_no, coalesce(try_strptime(date_text, '%Y-%m-%d'), try_strptime(date_text, '%d/%m/%Y'),
-    try_strptime(date_text, '%d-%m-%Y')) AS date_text, try_strptime(us_date_text, '%m/%d/%Y') AS us_date_text
+SELECT row_no, coalesce(try_strptime(date_text, '%Y-%m-%d'), try_strptime(date_text, '%d/%m/%y'),
+    try_strptime(date_text, '%d/%m/%Y'), try_strptime(date_text, '%d-%m-%Y'), try_strptime(date_text, '%Y%m%d'),
+    try_strptime(date_text, '%Y-%m-%dT%H:%M:%S.%g'), try_strptime(date_text, '%Y-%m-%dT%H:%M:%SZ'),
+    try_strptime(date_text, '%Y-%m-%d %H:%M:%S-05:00') + INTERVAL 5 HOUR) AS date_text, try_strptime(us_date_text, '%m/%d/%Y') AS us_date_text
 FROM messy""",
     ("messy",),
 )
@@ -198,18 +200,20 @@ WITH flagged AS (SELECT row_no, invoice_id, 'negative_amount' AS rule FROM invoi
   UNION ALL SELECT row_no, invoice_id, 'due_before_issue' FROM invoices WHERE due_ts < issued_ts
   UNION ALL SELECT row_no, invoice_id, 'date_out_of_range' FROM invoices
     WHERE least(created_ts, issued_ts, due_ts, paid_ts) < TIMESTAMP '1990-01-01'
-       OR greatest(created_ts, issued_ts, due_ts, paid_ts) > TIMESTAMP '2100-12-31'),
+       OR greatest(created_ts, issued_ts, due_ts, paid_ts) > TIMESTAMP '2100-12-31'
+  UNION ALL SELECT row_no, invoice_id, 'amount_not_countable' FROM invoices
+    WHERE amount IS NOT NULL AND TRY_CAST(amount AS DECIMAL(38, 6)) IS NULL),
 firsts AS (SELECT rule, array_to_string(list_filter(list(invoice_id ORDER BY row_no), lambda x: x IS NOT NULL), ',') AS examples
   FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY row_no) AS rn FROM flagged) WHERE rn <= 20 GROUP BY rule),
 totals AS (SELECT rule, count(*) AS n FROM flagged GROUP BY rule)
 SELECT d.rule, coalesce(t.n, 0) AS rows, coalesce(f.examples, '') AS examples
-FROM (SELECT unnest(['negative_amount', 'due_before_issue', 'date_out_of_range']) AS rule) d
+FROM (SELECT unnest(['negative_amount', 'due_before_issue', 'date_out_of_range', 'amount_not_countable']) AS rule) d
 LEFT JOIN totals t ON d.rule = t.rule LEFT JOIN firsts f ON d.rule = f.rule"""
 
 
 @query("quality_issues", _QUALITY_SQL, ("invoices",))
 def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.quality_issues(fx.invoices(spark, sf_dir))
+    return profile.quality_issues(fx.invoices(spark, sf_dir), uncountable=True)
 
 
 @query(
@@ -252,7 +256,7 @@ WITH summary AS (SELECT supplier_key, count(*) AS invoices,
   count(*) FILTER (WHERE state = 'Aceptada') AS accepted, count(*) FILTER (WHERE state = 'Observada') AS observed,
   count(*) FILTER (WHERE state = 'Rechazada') AS rejected,
   count(*) FILTER (WHERE state IN ('Pendiente', 'Borrador', 'Pendiente / Borrador')) AS pending,
-  CAST(coalesce(sum(CAST(amount AS DECIMAL(20, 4))), 0) AS DOUBLE) AS amount_sum, count(amount) AS amount_count,
+  CAST(coalesce(sum(TRY_CAST(amount AS DECIMAL(38, 6))), 0) AS DOUBLE) AS amount_sum, count(amount) AS amount_count,
   min(issued_ts) AS first_issued, max(issued_ts) AS last_issued
   FROM invoices WHERE supplier_key IS NOT NULL GROUP BY supplier_key),
 finished AS (SELECT *, observed + rejected AS incidents,
