@@ -8,23 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted layouts, with ``-`` for any of ``- / .`` and a blank for ``T``. ISO is told by
-# its shape, so ISO text is never read day-first.
+# its shape, so ISO text is never read day-first. Two-digit years from 69 on belong to the last century.
 ISO_SHAPE = "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 OTHER_SHAPE = "^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}"
 TIME_SHAPE = "( [0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2})?)?$"
 ISO_LAYOUT = "yyyy-M-d[ H:m[:s]]"
 DAY_FIRST_LAYOUT = "d-M-yyyy[ H:m[:s]]"
 MONTH_FIRST_LAYOUT = "M-d-yyyy[ H:m[:s]]"
+FRACTION = r"(:[0-9]{1,2})[.,]([0-9]{1,9})"
+ZONE = r"(:[0-9]{1,2}(?:[.,][0-9]{1,9})?) ?(?:[zZ]|([+-])([0-9]{2}):?([0-9]{2})?)$"
 
 MICROS_PER_DAY = 86_400_000_000
 
 
+def _extras(value: Column) -> Column:
+    """Microseconds that a fraction of a second adds, and an offset from UTC takes away."""
+    fraction = F.rpad(F.regexp_extract(value, FRACTION, 2), 6, "0").cast("bigint")
+    sign, hours, minutes = (F.regexp_extract(value, ZONE, i) for i in (2, 3, 4))
+    offset = (F.nullif(hours, F.lit("")).cast("bigint") * 60 + F.coalesce(F.nullif(minutes, F.lit("")).cast("bigint"), F.lit(0))) * (
+        60_000_000
+    )
+    return fraction - F.coalesce(F.when(sign == "-", -offset).otherwise(offset), F.lit(0))
+
+
 def _parse(value: Column, other_layout: str) -> Column:
-    """Only text of the right shape is parsed: a failing parse is costly."""
-    text = F.translate(F.trim(value), "/.T", "-- ")
-    return F.when(text.rlike(ISO_SHAPE + TIME_SHAPE), F.try_to_timestamp(text, F.lit(ISO_LAYOUT))).when(
+    """Only text of the right shape is parsed: a failing parse is costly. Times with an offset become UTC."""
+    trimmed = F.trim(value)
+    whole = F.regexp_replace(F.regexp_replace(trimmed, ZONE, "$1"), FRACTION, "$1")
+    text = F.translate(whole, "/.T", "-- ")
+    text = F.regexp_replace(text, "^([0-9]{4})([0-9]{2})([0-9]{2})(?= |$)", "$1-$2-$3")
+    text = F.regexp_replace(text, "^([0-9]{1,2}-[0-9]{1,2}-)(6[9]|[7-9][0-9])(?= |$)", "$119$2")
+    text = F.regexp_replace(text, "^([0-9]{1,2}-[0-9]{1,2}-)([0-9]{2})(?= |$)", "$120$2")
+    parsed = F.when(text.rlike(ISO_SHAPE + TIME_SHAPE), F.try_to_timestamp(text, F.lit(ISO_LAYOUT))).when(
         text.rlike(OTHER_SHAPE + TIME_SHAPE), F.try_to_timestamp(text, F.lit(other_layout))
     )
+    extra = F.when(trimmed.rlike(f"{FRACTION}|{ZONE}"), _extras(trimmed)).otherwise(F.lit(0))
+    return F.timestamp_micros(F.unix_micros(parsed) + extra)
 
 
 def parse_day_first(value: Column) -> Column:

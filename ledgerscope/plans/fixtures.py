@@ -199,9 +199,12 @@ def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
                 WHEN 3 THEN 'n/a'
                 WHEN 4 THEN '-1,' || lpad(CAST(o_custkey % 1000 AS STRING), 3, '0') || '.5'
                 ELSE '1.' || lpad(CAST(o_custkey % 1000 AS STRING), 3, '0') || ',25' END AS amount_text""",
-        """CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd')
-                WHEN 1 THEN date_format(o_orderdate, 'dd/MM/yyyy')
-                WHEN 2 THEN date_format(o_orderdate, 'dd-MM-yyyy') ELSE '?' END AS date_text""",
+        """CASE o_orderkey % 9 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd')
+                WHEN 1 THEN date_format(o_orderdate, 'dd/MM/yyyy') WHEN 2 THEN date_format(o_orderdate, 'dd-MM-yyyy')
+                WHEN 3 THEN date_format(o_orderdate, 'dd/MM/yy') WHEN 4 THEN date_format(o_orderdate, 'yyyyMMdd')
+                WHEN 5 THEN date_format(o_orderdate, 'yyyy-MM-dd') || 'T10:20:30.250'
+                WHEN 6 THEN date_format(o_orderdate, 'yyyy-MM-dd') || 'T10:20:30Z'
+                WHEN 7 THEN date_format(o_orderdate, 'yyyy-MM-dd') || ' 10:20:30-05:00' ELSE '?' END AS date_text""",
         "date_format(o_orderdate, 'MM/dd/yyyy') AS us_date_text",
         """CASE o_orderkey % 9 WHEN 0 THEN 'ACEPTADA' WHEN 1 THEN 'Aceptado con observaciones'
                 WHEN 2 THEN 'aceptada con observaciones' WHEN 3 THEN ' Recházado! ' WHEN 4 THEN 'CPE anulada'
@@ -318,8 +321,11 @@ SELECT o_orderkey AS row_no,
     WHEN 2 THEN replace(printf('%.2f', o_totalprice), '.', ',') WHEN 3 THEN 'n/a'
     WHEN 4 THEN '-1,' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '.5'
     ELSE '1.' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || ',25' END AS amount_text,
-  CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y')
-    WHEN 2 THEN strftime(o_orderdate, '%d-%m-%Y') ELSE '?' END AS date_text,
+  CASE o_orderkey % 9 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y')
+    WHEN 2 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 3 THEN strftime(o_orderdate, '%d/%m/%y')
+    WHEN 4 THEN strftime(o_orderdate, '%Y%m%d') WHEN 5 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T10:20:30.250'
+    WHEN 6 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T10:20:30Z'
+    WHEN 7 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 10:20:30-05:00' ELSE '?' END AS date_text,
   strftime(o_orderdate, '%m/%d/%Y') AS us_date_text,
   CASE o_orderkey % 9 WHEN 0 THEN 'ACEPTADA' WHEN 1 THEN 'Aceptado con observaciones'
     WHEN 2 THEN 'aceptada con observaciones' WHEN 3 THEN ' Recházado! ' WHEN 4 THEN 'CPE anulada'

@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 DOWNLOAD_EXTENSION = ".zip"
 PREFERRED_TERMS = ("padron", "reduc")
 
-_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+#: An anchor: its address and everything up to its end, or to the next anchor.
+_ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>((?:(?!</a>|<a\s).)*+)"""
+#: Character references that occur in addresses.
+REFERENCES = {"&amp;": "&", "&#38;": "&", "&#x26;": "&", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">"}
+
+
+def _decoded(text: Column) -> Column:
+    """Text with the character references of addresses; the ampersand comes last, as its result may look like one."""
+    for reference, character in sorted(REFERENCES.items(), key=lambda r: r[1] == "&"):
+        text = F.replace(text, F.lit(reference), F.lit(character))
+    return text
 
 
 def resolve_url(base: Column, link: Column) -> Column:
@@ -48,17 +58,32 @@ def rank_download_links(
     contains: str = DOWNLOAD_EXTENSION,
     preferred: tuple[str, ...] = PREFERRED_TERMS,
 ) -> DataFrame:
-    """Links of each page that contain a text, preferred ones first, then in page order.
+    """Links of each page that contain a text in address or name, preferred ones first, then in page order.
 
     All of it happens inside the row of a page: no shuffle, whatever the number of links. Without
     a matching link the page text is searched for names that end in ``contains``.
     """
-    base = F.col("url")
-    hrefs = F.transform(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1)), lambda h: resolve_url(base, F.trim(h)))
-    found = F.filter(hrefs, lambda h: F.contains(F.lower(h), F.lit(contains.lower())))
-    loose_pattern = rf"""(?i)([^'"\s<>]+\Q{contains}\E)"""
+    base, wanted = F.col("url"), F.lit(contains.lower())
+    anchors = F.arrays_zip(
+        F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)).alias("href"),
+        F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(2)).alias("text"),
+    )
+    named = F.filter(
+        F.transform(
+            anchors,
+            lambda a: F.struct(
+                resolve_url(base, F.trim(_decoded(a["href"]))).alias("link"),
+                F.lower(F.regexp_replace(a["text"], "<[^>]*>", " ")).alias("text"),
+            ),
+        ),
+        lambda a: F.contains(F.lower(a["link"]), wanted) | F.contains(a["text"], wanted),
+    )
+    found = F.transform(named, lambda a: a["link"])
+    # Addresses outside anchors: words of the page, cut where the text that is looked for ends.
+    words = F.split("html", r"[\s\"'<>()=]+")
     loose = F.transform(
-        F.regexp_extract_all("html", F.lit(loose_pattern), F.lit(1)), lambda h: resolve_url(base, h)
+        F.filter(words, lambda w: F.instr(F.lower(w), contains.lower()) > 1),
+        lambda w: resolve_url(base, _decoded(F.left(w, F.instr(F.lower(w), contains.lower()) + (len(contains) - 1)))),
     )
     links = F.when(F.size(found) > 0, found).otherwise(loose)
 
