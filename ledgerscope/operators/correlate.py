@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope import schema as S
+from ledgerscope.sources.workspace import materialize
 
 NULL_LEVEL = "nan"
 
@@ -26,12 +27,15 @@ _TABLE = "variable string, source string, level string, is_category boolean, cor
 
 
 def _category_correlations(df: DataFrame, columns: Sequence[str], target: str, rows: int, positives: int) -> DataFrame:
-    levels = df.select(
-        F.col(target).cast("bigint").alias("y"),
-        F.inline(F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).cast("string").alias("level")) for c in columns])),
+    # Rows are counted by all categories at once; only the short table of their combinations is spread out.
+    combined = df.groupBy(*[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(columns)]).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("bigint")).alias("y")
+    )
+    levels = combined.select(
+        "n", "y", F.inline(F.array(*[F.struct(F.lit(c).alias("source"), F.col(f"_c{i}").alias("level")) for i, c in enumerate(columns)]))
     )
     counts = levels.groupBy("source", "level").agg(
-        F.count(F.lit(1)).cast("double").alias("n_level"), F.sum("y").cast("double").alias("y_level")
+        F.sum("n").cast("double").alias("n_level"), F.sum("y").cast("double").alias("y_level")
     )
     n, y, n_level = float(rows), float(positives), F.col("n_level")
     top = n * F.col("y_level") - n_level * y
@@ -57,14 +61,24 @@ def target_correlations(
     aggregate gives all numbers and the totals that the categories need; it reaches the driver as a
     single row.
     """
-    known = df.where(F.col(target).isNotNull())
+    known = _known(df, numbers, categories, target)
+    return _target_correlations(known, numbers, categories, target)
+
+
+def _known(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], target: str) -> DataFrame:
+    """The columns that count, of rows with a target, written once: every aggregate reads them again."""
+    columns = dict.fromkeys([target, *numbers, *categories])
+    return materialize(df.where(F.col(target).isNotNull()).select(*columns), "correlate")
+
+
+def _target_correlations(known: DataFrame, numbers: Sequence[str], categories: Sequence[str], target: str) -> DataFrame:
     y = F.col(target).cast("double")
     row = known.agg(
         F.count(F.lit(1)).alias("_rows"),
         F.coalesce(F.sum(F.col(target).cast("bigint")), F.lit(0)).alias("_positives"),
         *[_pearson(F.col(c).cast("double"), y).alias(c) for c in numbers],
     ).first()
-    table = df.sparkSession.createDataFrame([(c, c, None, False, row[c]) for c in numbers], _TABLE)
+    table = known.sparkSession.createDataFrame([(c, c, None, False, row[c]) for c in numbers], _TABLE)
     if categories:
         table = table.unionByName(_category_correlations(known, categories, target, row["_rows"], row["_positives"]))
     table = table.where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
@@ -83,9 +97,9 @@ def correlation_matrix(
     The names of at most ``top`` variables reach the driver; all pairs come from one aggregate. Each
     pair is named in alphabetical order.
     """
-    known = df.where(F.col(target).isNotNull())
+    known = _known(df, numbers, categories, target)
     strongest = (
-        target_correlations(known, numbers, categories, target).orderBy(F.desc(F.round("strength", 12)), "variable").limit(top).collect()
+        _target_correlations(known, numbers, categories, target).orderBy(F.desc(F.round("strength", 12)), "variable").limit(top).collect()
     )
 
     def column(row) -> Column:
