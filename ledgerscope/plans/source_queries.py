@@ -58,13 +58,14 @@ def typed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
   avg(CAST(regexp_matches(v, '[A-Za-zÁÉÍÓÚÑ]{3,}') AS INTEGER)) AS text_share
 FROM (SELECT 'supplier_key' AS column_name, supplier_key AS v FROM invoices
       UNION ALL SELECT 'raw_key', raw_key FROM invoices UNION ALL SELECT 'supplier_name', trim(supplier_name) FROM invoices
-      UNION ALL SELECT 'doc_type', doc_type FROM invoices) GROUP BY column_name""",
+      UNION ALL SELECT 'doc_type', doc_type FROM invoices UNION ALL SELECT 'invoice_id', invoice_id FROM invoices
+      UNION ALL SELECT 'currency', currency FROM invoices UNION ALL SELECT 'state', state FROM invoices
+      UNION ALL SELECT 'row_no', CAST(row_no AS VARCHAR) FROM invoices) GROUP BY column_name""",
     ("invoices",),
 )
 def column_content_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importing.content_shares(
-        fx.invoices(spark, sf_dir), ["supplier_key", "raw_key", "supplier_name", "doc_type"]
-    )
+    text = ["supplier_key", "raw_key", "supplier_name", "doc_type", "invoice_id", "currency", "state", "row_no"]
+    return importing.content_shares(fx.invoices(spark, sf_dir), text)
 
 
 def _import_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,22 +127,30 @@ def imported_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_DICTIONARY = ("invoice_id", "supplier_key", "supplier_name", "doc_type", "state")
+_DICTIONARY = {
+    "row_no": "bigint", "invoice_id": "string", "raw_key": "string", "supplier_name": "string", "doc_type": "string",
+    "currency": "string", "created_ts": "timestamp", "issued_ts": "timestamp", "due_ts": "timestamp", "paid_ts": "timestamp",
+    "amount": "double", "state": "string", "supplier_key": "string",
+}
 
 
-def _dictionary_sql(column: str) -> str:
-    example = "''" if column in S.PRIVATE_COLUMNS else f"(SELECT coalesce(min({column}), '') FROM invoices)"
+def _dictionary_sql(column: str, kind: str) -> str:
+    # Examples are the least texts; those of doubles are written differently by the two engines, so they are left out here.
+    text = f"strftime({column}, '%Y-%m-%d %H:%M:%S')" if kind == "timestamp" else f"CAST({column} AS VARCHAR)"
+    empty = column in S.PRIVATE_COLUMNS or kind == "double"
+    example = "''" if empty else f"(SELECT coalesce(min(replace({text}, '|', '/')), '') FROM invoices)"
     reason = "known only afterwards" if column in S.LEAKING_COLUMNS else ""
     used = str(column in S.FULL_FEATURES).lower()
     return (
-        f"SELECT '{column}' AS column_name, 'string' AS data_type, {example} AS example, {used} AS in_model, "
+        f"SELECT '{column}' AS column_name, '{kind}' AS data_type, {example} AS example, {used} AS in_model, "
         f"'{reason}' AS exclusion"
     )
 
 
-@query("data_dictionary", " UNION ALL ".join(_dictionary_sql(c) for c in _DICTIONARY), ("invoices",))
+@query("data_dictionary", " UNION ALL ".join(_dictionary_sql(*c) for c in _DICTIONARY.items()), ("invoices",))
 def data_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importing.data_dictionary(fx.invoices(spark, sf_dir).select(*_DICTIONARY))
+    table = importing.data_dictionary(fx.invoices(spark, sf_dir))
+    return table.withColumn("example", F.when(F.col("data_type") == "double", "").otherwise(F.col("example")))
 
 
 # --------------------------------------------------------------------------- registry files
@@ -155,7 +164,7 @@ def registry_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fx.registry_raw(spark, sf_dir)
     fields = [F.coalesce(F.col(c), F.lit("")) if c in raw.columns else F.lit("-") for c in S.REGISTRY_FILE_COLUMNS]
     # The order of the lines decides which of two entries wins, so it is written out in order.
-    lines = raw.repartitionByRange(4, "line_no").sortWithinPartitions("line_no")
+    lines = raw.repartitionByRange("line_no").sortWithinPartitions("line_no")
     damaged = F.when(F.col("supplier_key").isNotNull(), F.concat_ws("|", *fields, F.lit("")))
     broken = F.concat_ws("|", *[F.lit("x")] * (len(fields) + 3))
     path = workspace(spark, "registry")
@@ -222,8 +231,9 @@ _ORDERS = T.StructType(
 @query("incremental_supplier_summary", summary_sql("SELECT * FROM finished"), ("invoices",))
 def incremental_supplier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    stream = invoices.stream_invoices(spark, sf_dir, _ORDERS, file_glob="orders.parquet", files_per_batch=1)
-    path = workspace(spark, "summary-stream")
+    files, path = workspace(spark, "orders-stream"), workspace(spark, "summary-stream")
+    fx.table(spark, sf_dir, "orders").repartition(3).write.parquet(files)  # three files, so three batches to merge
+    stream = invoices.stream_invoices(spark, files, _ORDERS, file_glob="*.parquet", files_per_batch=1)
     incremental.run_summary_stream(fx.invoices_from_orders(stream), path)
     return incremental.merged_summary(spark, path)
 
@@ -247,9 +257,9 @@ def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fx.registry_raw(spark, sf_dir)
     files = workspace(spark, "upsert-input")
     second = F.col("line_no") >= 1_000_000_000
-    raw.where(~second).coalesce(1).write.parquet(files)
-    raw.where(second).coalesce(1).write.mode("append").parquet(files)
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(files)
     path = workspace(spark, "upsert-stream")
-    incremental.run_upsert_stream(stream.withColumn("irregular", F.lit("0")), path, "line_no")
+    for part in (raw.where(~second), raw.where(second)):  # what is there when the stream starts is one batch
+        part.write.mode("append").parquet(files)
+        stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1_000_000).parquet(files)
+        incremental.run_upsert_stream(stream.withColumn("irregular", F.lit("0")), path, "line_no")
     return incremental.upsert_history(spark, path)

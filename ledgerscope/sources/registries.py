@@ -16,20 +16,20 @@ from ledgerscope.functions.text import normalize_key
 from ledgerscope.operators.enrich import dedup_by_key
 
 
-def _lines(spark: SparkSession, path: str, encoding: str, line_sep: str | None) -> DataFrame:
+def _lines(spark: SparkSession, path: str, encoding: str, line_sep: str | None = None) -> DataFrame:
     """Lines with a number that follows file name and position in the file."""
     reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
-    lines = reader.text(path).select(
-        F.decode(F.col("value").cast("binary"), encoding).alias("line"),
+    lines = reader.text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("line"), _place())
+    return lines.select(F.regexp_replace("line", "[\\r\\n]+$", "").alias("line"), "line_no")
+
+
+def _place() -> Column:
+    """Where a row comes from: file, block and a number that increases with the position inside the block."""
+    return F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        # Increases with the position inside one file block.
         F.monotonically_increasing_id().alias("position"),
-    )
-    return lines.select(
-        F.regexp_replace("line", "[\\r\\n]+$", "").alias("line"),
-        F.struct("file", "block", "position").alias("line_no"),
-    )
+    ).alias("line_no")
 
 
 def _fields(line: Column, sep: str) -> Column:
@@ -58,7 +58,7 @@ def read_registry(
     are filled with null. Quotes have no meaning, so a stray quote in a name stays a character.
     """
     names = list(columns) if columns else registry_column_names(column_count)
-    parts = _lines(spark, path, encoding, None).withColumn("parts", _fields(F.col("line"), sep))
+    parts = _lines(spark, path, encoding).withColumn("parts", _fields(F.col("line"), sep))
     width = F.size("parts") - F.when(F.element_at("parts", -1) == "", 1).otherwise(0)
     kept = parts.where((F.length("line") > 0) & (width <= len(names)))
     table = kept.select(*[F.get("parts", F.lit(i)).alias(n) for i, n in enumerate(names)], "line_no")
@@ -69,11 +69,11 @@ def read_registry(
 
 
 def read_membership_list(
-    spark: SparkSession, path: str, *, encoding: str = "ISO-8859-1", line_sep: str = "\r", header: bool = True
+    spark: SparkSession, path: str, *, encoding: str = "ISO-8859-1", line_sep: str | None = None, header: bool = True
 ) -> DataFrame:
     """Membership list: key, name, since, resolution, separated by pipes; the first line of a key wins.
 
-    Records end in a carriage return; pass ``line_sep="\\n"`` for files with line feeds.
+    Records end in a carriage return, a line feed or both, unless ``line_sep`` says otherwise.
     """
     parts = _lines(spark, path, encoding, line_sep).withColumn(
         "parts", _fields(F.regexp_replace("line", "^[\\r\\n]+", ""), "|")
@@ -95,7 +95,7 @@ def read_membership_flags(spark: SparkSession, path: str, *, format: str = "parq
     rows = df.select(
         normalize_key(F.col("supplier_key")).alias("supplier_key"),
         F.struct(*[e.alias(f) for f, e in flags.items()]).alias("flags"),
-        F.monotonically_increasing_id().alias("row"),
+        _place(),
     ).where(F.col("supplier_key").isNotNull())
-    first = rows.groupBy("supplier_key").agg(F.min_by("flags", "row").alias("flags"))
+    first = rows.groupBy("supplier_key").agg(F.min_by("flags", "line_no").alias("flags"))
     return first.select("supplier_key", "flags.*")
