@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
@@ -39,14 +40,19 @@ from ledgerscope.operators.evaluate import (
     select_threshold,
     threshold_sweep,
 )
+from ledgerscope.operators.ranks import exact_quantiles_of
 from ledgerscope.operators.resample import bootstrap_ci, permuted_rows
 from ledgerscope.operators.split import expanding_folds
+from ledgerscope.sources.workspace import materialize
 
 log = logging.getLogger(__name__)
 
 FEATURES, WEIGHT, SCORE = "_features", "_class_weight", "score"
 MAX_SETTINGS, FOLDS = 8, 3
 MIN_KEPT_PR_AUC = 0.97
+#: What a wrong family or setting raises before any job runs; failing jobs raise other errors.
+UNUSABLE = (IllegalArgumentException, AttributeError, TypeError, ValueError)
+UNLIMITED_DEPTH = 30  # the most that MLlib allows
 
 
 # --------------------------------------------------------------------------- preprocessing
@@ -64,13 +70,12 @@ def _modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return {row["c"]: row["v"] for row in top.collect()}  # one row per column
 
 
-def _medians(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> dict[str, float]:
+def _medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact medians of all columns together; 0 for a column without values."""
     if not columns:
         return {}
-    row = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in columns]
-    ).first()
-    return {c: 0.0 if row[c] is None else float(row[c]) for c in columns}
+    found = exact_quantiles_of(df, dict.fromkeys(columns, (0.5,)))
+    return {c: 0.0 if found[c][0] is None else float(found[c][0]) for c in columns}
 
 
 def fit_preprocessor(
@@ -181,7 +186,7 @@ def candidates(label: str = "label", *, trees: int = 300, rounds: int = 100, see
         Candidate(
             "forest",
             forest,
-            {"max_depth": (4, 6, 8, 12), "min_leaf": (20, 50, 100), "max_features": ("sqrt", "0.7", "all")},
+            {"max_depth": (4, 6, 8, 12, UNLIMITED_DEPTH), "min_leaf": (20, 50, 100), "max_features": ("sqrt", "0.7", "all")},
         ),
         Candidate(
             "boosting",
@@ -269,7 +274,7 @@ def time_series_search(
             part = part.withColumns({"setting": F.lit(i), "fold": F.lit(k)})
             scored = part if scored is None else scored.unionByName(part)
         prepared.unpersist()
-    report = ranking_report(scored, label=label, within=["setting", "fold"])
+    report = ranking_report(materialize(scored, "search-scores"), label=label, within=["setting", "fold"])
     names = train.sparkSession.createDataFrame(
         [(i, repr(sorted(s.items()))) for i, s in enumerate(settings)], "setting int, parameters string"
     )
@@ -301,13 +306,16 @@ def train_experiments(
     label: str = "label",
     search: bool = True,
     max_settings: int = MAX_SETTINGS,
+    left_out: list[tuple[str, str, str]] | None = None,
 ) -> tuple[list[Trained], DataFrame]:
     """Fit every model on every feature set and judge all of them on the validation rows.
 
-    A model that cannot be fitted is logged and left out.
+    Each model scores each validation row once; the scores are written and judged from there. A model that
+    cannot be built or is refused is left out, and noted as (experiment, model, reason) in ``left_out``; any other error ends the job.
     """
     trained: list[Trained] = []
     scored = None
+    left_out = [] if left_out is None else left_out
     for experiment, features in experiments.items():
         for candidate in models:
             try:
@@ -316,8 +324,9 @@ def train_experiments(
                     table = time_series_search(candidate, train, features, label=label, max_settings=max_settings)
                     setting = best_setting(candidate, table, max_settings)
                 pipeline = fit_candidate(candidate, setting, train, features, label=label)
-            except Exception:  # noqa: BLE001 - one failing family must not stop the comparison
-                log.exception("model %s left out of experiment %s", candidate.name, experiment)
+            except UNUSABLE as refused:
+                log.warning("model %s left out of experiment %s: %s", candidate.name, experiment, refused)
+                left_out.append((experiment, candidate.name, str(refused)))
                 continue
             trained.append(Trained(experiment, candidate.name, pipeline, tuple(features), setting))
             part = score_rows(pipeline, validation).select(label, SCORE)
@@ -325,7 +334,7 @@ def train_experiments(
             scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         raise RuntimeError("no candidate model could be trained")
-    return trained, model_table(scored, label=label)
+    return trained, model_table(materialize(scored, "comparison-scores"), label=label)
 
 
 def pick_best(trained: Sequence[Trained], models: DataFrame) -> tuple[Trained, float]:
@@ -345,17 +354,22 @@ def calibrate(pipeline: PipelineModel, validation: DataFrame, *, label: str = "l
     Returns the pipeline to use and one row per method with ``selected``.
     """
     slicer = VectorSlicer(inputCol="probability", outputCol="_raw_score", indices=[1])
-    raw = slicer.transform(pipeline.transform(validation)).select(
-        F.col(label).cast("double").alias(label), "_raw_score"
-    ).persist()
+    points = (
+        pipeline.transform(validation)
+        .groupBy(F.col(label).cast("double").alias(label), vector_to_array("probability")[1].alias("_point"))
+        .agg(F.count(F.lit(1)).cast("double").alias("_rows"))
+    )
+    assembler = VectorAssembler(inputCols=["_point"], outputCol="_raw_score")
+    raw = assembler.transform(points).select(label, "_raw_score", "_rows").persist()
     sigmoid = LogisticRegression(
         featuresCol="_raw_score",
         labelCol=label,
+        weightCol="_rows",
         predictionCol="_calibrated_label",
         rawPredictionCol="_calibrated_raw",
         probabilityCol="_calibrated_probability",
     )
-    isotonic = IsotonicRegression(featuresCol="_raw_score", labelCol=label, predictionCol="_calibrated")
+    isotonic = IsotonicRegression(featuresCol="_raw_score", labelCol=label, weightCol="_rows", predictionCol="_calibrated")
     pipelines = {"original": pipeline}
     for method, estimator in (("sigmoid", sigmoid), ("isotonic", isotonic)):
         pipelines[method] = PipelineModel([*pipeline.stages, slicer, estimator.fit(raw)])
@@ -364,6 +378,7 @@ def calibrate(pipeline: PipelineModel, validation: DataFrame, *, label: str = "l
     for method, p in pipelines.items():
         part = score_rows(p, validation).select(label, SCORE, F.lit(method).alias("method"))
         scored = part if scored is None else scored.unionByName(part)
+    scored = materialize(scored, "calibration-scores")
     report = ranking_report(scored, label=label, within=["method"]).join(
         brier(scored, label=label, within=["method"]), "method"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ledgerscope.operators.enrich import (
     enrich_invoices,
     pending,
 )
+from ledgerscope.operators.evaluate import experiment_delta, reliability
 from ledgerscope.operators.history import HistoryColumns, supplier_history
 from ledgerscope.operators.learn import (
     Bundle,
@@ -23,6 +25,8 @@ from ledgerscope.operators.learn import (
     calibrate,
     candidates,
     choose_threshold,
+    final_evaluate,
+    permutation_importance,
     pick_best,
     score_rows,
     train_experiments,
@@ -115,36 +119,77 @@ def score_pending(pending_rows: DataFrame, bundle: Bundle) -> DataFrame:
     return finished.select(*OUTPUT_COLUMNS, *extra, "probability", "code", "label", "tier", "reasons")
 
 
-def train_and_score(
+@dataclass
+class Training:
+    """What a training run leaves: the bundle, and tables on how it was chosen and how it does on the test rows."""
+
+    bundle: Bundle
+    comparison: DataFrame
+    predictions: DataFrame
+    calibration: DataFrame
+    settings: list[tuple[str, str, dict]]
+    left_out: list[tuple[str, str, str]]
+    test_scores: DataFrame
+    test_metrics: DataFrame
+    reliability: str
+    delta: DataFrame
+    importance: DataFrame
+
+
+def train(
     prepared: DataFrame,
     *,
     experiments: dict[str, Sequence[str]] | None = None,
     models: Sequence[Candidate] | None = None,
     search: bool = True,
     max_settings: int = 8,
-) -> tuple[Bundle, DataFrame, DataFrame]:
-    """Compare models in time order, calibrate the best, and score the pending invoices.
-
-    Returns the bundle, the comparison table and the predictions.
-    """
+    repeats: int = 5,
+) -> Training:
+    """Compare models in time order, calibrate the best, judge it on the test rows, and score the pending invoices."""
     # Read by every fit of the comparison: written once, so that a lost executor does not bring the
     # whole preparation back.
     prepared = materialize(prepared, "prepared")
     labelled = temporal_split(definitive(prepared).withColumn("label", F.col("incident")))
-    train, validation = (labelled.where(F.col("split") == s) for s in ("train", "validation"))
+    fit_rows, validation, test = (labelled.where(F.col("split") == s) for s in ("train", "validation", "test"))
+    experiments = experiments or {"base": S.BASE_FEATURES, "extended": S.FULL_FEATURES}
+    left_out: list[tuple[str, str, str]] = []
     trained, comparison = train_experiments(
-        train,
-        validation,
-        experiments or {"base": S.BASE_FEATURES, "extended": S.FULL_FEATURES},
-        models or candidates(),
-        search=search,
-        max_settings=max_settings,
+        fit_rows, validation, experiments, models or candidates(), search=search, max_settings=max_settings, left_out=left_out
     )
     best, threshold = pick_best(trained, comparison)
     pipeline, calibration = calibrate(best.pipeline, validation)
     if calibration.where("selected AND method <> 'original'").count():
         threshold = choose_threshold(pipeline, validation)
+
+    test_scores = materialize(score_rows(pipeline, test).select("label", "score"), "test-scores")
+    test_metrics = final_evaluate(test_scores, threshold)
+    known = {r["metric"]: r["value"] for r in test_metrics.collect()}  # one row per metric
+    share = test_scores.agg(F.coalesce(F.avg(F.col("label").cast("double")), F.lit(0.0))).first()[0]
+    # A constant score has the share of incidents as its average precision.
+    verdict = test_scores.sparkSession.range(1).select(
+        reliability(F.lit(known["pr_auc"]), F.lit(known["f1"]), F.lit(known["precision"]), share)
+    ).first()[0]
+
     open_rows = pending(prepared)
-    cuts = risk_cuts(score_rows(pipeline, open_rows, "probability"))
-    bundle = Bundle(pipeline, best.features, threshold, cuts, best.experiment, best.model)
-    return bundle, comparison, score_pending(open_rows, bundle)
+    pending_scores = materialize(score_rows(pipeline, open_rows, "probability").select("probability"), "pending-scores")
+    bundle = Bundle(pipeline, best.features, threshold, risk_cuts(pending_scores), best.experiment, best.model)
+    names = list(experiments)
+    return Training(
+        bundle=bundle,
+        comparison=comparison,
+        predictions=score_pending(open_rows, bundle),
+        calibration=calibration,
+        settings=[(t.experiment, t.model, t.setting) for t in trained],
+        left_out=left_out,
+        test_scores=test_scores,
+        test_metrics=test_metrics,
+        reliability=verdict,
+        delta=experiment_delta(comparison, names[0], names[-1]),
+        importance=permutation_importance(pipeline, test, best.features, repeats=repeats),
+    )
+
+
+def train_and_score(prepared: DataFrame, **options) -> tuple[Bundle, DataFrame, DataFrame]:
+    """The bundle, the comparison table and the predictions of a training run."""
+    done = train(prepared, **options)
+    return done.bundle, done.comparison, done.predictions
