@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerscope.llm import exact_dedup, line_dedup, mixing, quality
+from ledgerscope.llm import exact_dedup, line_dedup, mixing, quality, secret_scan, sharding
 from ledgerscope.llm.bpe import op8_bpe
 from ledgerscope.llm.exact_dedup import op9_exact_dedup
 from ledgerscope.llm.html_extract import op1_html_extraction
@@ -22,8 +22,10 @@ QUERIES = {
     )
 }
 ORACLES = {
+    "op4_secret_scan": secret_scan.ORACLE,
     "op5_quality_rules": quality.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op7_sharding": sharding.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }

@@ -234,3 +234,53 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumns(counts | {"base_sha256": F.sha2(_listed(base).cast("binary"), 256), "listed": _listed(spans)})
         .select("doc_id", *counts, "base_sha256", F.col("listed").alias("spans"))
     )
+
+
+def _pieces_sql(pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"string_split(regexp_replace(translate(t, chr(1), chr(2)), '({quoted})', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+
+
+def _matches_sql(name: str, pattern: str) -> str:
+    """Matches of a pattern with their places, from the lengths of the pieces."""
+    return f"""{name} AS (SELECT doc_id, v, CAST(till - length(v) AS BIGINT) AS a, CAST(till AS BIGINT) AS b FROM (
+  SELECT doc_id, v, k, sum(length(v)) OVER (PARTITION BY doc_id ORDER BY k) AS till FROM (
+    SELECT doc_id, unnest(ps) AS v, generate_subscripts(ps, 1) AS k FROM (SELECT doc_id, {_pieces_sql(pattern)} AS ps FROM d)))
+  WHERE k % 2 = 0)"""
+
+
+def _allowed_sql() -> str:
+    return " OR ".join(f"regexp_matches(v, '{p}')" for p in ALLOWED)
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{_matches_sql("m_assign", ASSIGN)},
+{_matches_sql("m_access", ACCESS)},
+{_matches_sql("m_hex", HEX)},
+{_matches_sql("m_run", RUN)},
+base AS (SELECT doc_id, a, b, 0 AS rank, 'assign' AS kind FROM m_assign
+    WHERE length(regexp_extract(v, '{ASSIGN.replace("'", "''")}', 2)) >= {LEAST["assign"]}
+  UNION ALL SELECT doc_id, a, b, 1, 'access' FROM m_access WHERE length(v) >= {LEAST["access"]}
+  UNION ALL SELECT doc_id, a, b, 2, 'hex' FROM m_hex WHERE length(v) >= {LEAST["hex"]}),
+runs AS (SELECT doc_id, a, v, CASE WHEN regexp_matches(v, '^([0-9a-f]+|[0-9A-F]+)$') THEN {least_sum(THRESHOLDS["hex"])}
+    WHEN regexp_matches(v, '^[A-Z0-9]+$') THEN {least_sum(THRESHOLDS["upper"])} ELSE {least_sum(THRESHOLDS["base64"])} END AS most
+  FROM m_run WHERE NOT ({_allowed_sql()})),
+windows AS (SELECT doc_id, a, most, i, substr(v, i + 1, {WINDOW}) AS w
+  FROM (SELECT *, unnest(range(0, length(v) - {WINDOW - 1})) AS i FROM runs)),
+chars AS (SELECT doc_id, a, most, i, unnest(string_split(w, '')) AS c FROM windows),
+sums AS (SELECT doc_id, a, most, i, sum({list(_PLOGP)}[n + 1]) AS total FROM (
+  SELECT doc_id, a, most, i, c, count(*) AS n FROM chars GROUP BY ALL) GROUP BY ALL),
+busy AS (SELECT doc_id, a, i, CASE WHEN i > lag(i) OVER w + {WINDOW} OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS starts
+  FROM sums WHERE total <= most WINDOW w AS (PARTITION BY doc_id, a ORDER BY i)),
+added AS (SELECT doc_id, min(run + i) AS a, max(run + i) + {WINDOW} AS b, 3 AS rank, 'entropy' AS kind FROM (
+  SELECT doc_id, a AS run, i, sum(starts) OVER (PARTITION BY doc_id, a ORDER BY i) AS g FROM busy) GROUP BY doc_id, run, g),
+spans AS (SELECT * FROM base UNION ALL
+  SELECT * FROM added x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.a < x.b AND x.a < b.b)),
+lists AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access,
+  count(*) FILTER (WHERE rank = 2) AS n_hex,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b) FILTER (WHERE rank < 3) AS base_list,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base_list, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id
+"""

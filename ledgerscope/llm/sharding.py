@@ -131,3 +131,34 @@ TREE = uniform_tree(regions=2, racks=4, shards=5)
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard(without(docs, *RESULTS), TREE)
+
+
+def _unit_sql(key: str, name: str) -> str:
+    return f"((CAST('0x' || substr(md5('shard:{name}:' || {key}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+def _place_sql(key: str, tree: Node) -> str:
+    """The same descent in SQL: the child with the smallest draw, the first one on ties."""
+    if not tree.children:
+        return str(tree.shard)
+    if len(tree.children) == 1:
+        return _place_sql(key, tree.children[0])
+    draws = ", ".join(f"-ln({_unit_sql(key, c.name)}) / {c.weight!r}" for c in tree.children)
+    steps = " ".join(f"WHEN {i} THEN {_place_sql(key, c)}" for i, c in enumerate(tree.children, 1))
+    return f"CASE list_position([{draws}], least({draws})) {steps} END"
+
+
+ORACLE = f"""
+WITH RECURSIVE bits(n, v, k) AS (SELECT CAST(i AS BIGINT), CAST(i AS BIGINT), 0 FROM range(256) t(i)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+remainders AS (SELECT list(v ORDER BY n) AS of_byte FROM bits WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h,
+  CAST('0x' || substr(md5('slot:' || doc_id), 1, 13) AS BIGINT) AS drawn FROM documents),
+c AS (SELECT doc_id, drawn, CAST(length(h) // 2 + {OVERHEAD} AS BIGINT) AS size,
+  xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'),
+    lambda x: instr('0123456789ABCDEF', x[1]) * 16 + instr('0123456789ABCDEF', x[2]) - 17)),
+    lambda a, x: xor(a >> 8, of_byte[xor(a & 255, x) + 1])), 4294967295) AS text_crc32 FROM d, remainders),
+p AS (SELECT *, CAST({_place_sql("doc_id", TREE)} AS INTEGER) AS shard, CAST({_place_sql("doc_id", grow(TREE))} AS INTEGER) AS grown_shard FROM c)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard, grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY drawn, doc_id) - 1 AS slot FROM p
+"""
