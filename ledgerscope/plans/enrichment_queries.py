@@ -357,6 +357,13 @@ features AS (SELECT row_no, supplier_key, incident, n_prev AS prev_count, CAST(i
 
 
 _MEDIAN = "(SELECT m FROM mid)"
+
+
+def history_sql() -> str:
+    """The views up to ``features``, for queries over prepared invoices."""
+    return _history_sql(_MEDIAN).rstrip()
+
+
 _FEATURES = f"""SELECT row_no, supplier_key, {", ".join(
     f"round({f}, 6) AS {f}" if f in ("prev_incident_rate", "prev_mean_amount", "prev_max_amount", "amount_deviation") else f
     for f in S.HISTORY_FEATURES)} FROM features"""
