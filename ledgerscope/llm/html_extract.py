@@ -67,8 +67,11 @@ DROPPED_WORDS = frozenset(
     banner banners cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription signup login
     sidebar sidebars sidenav aside menu menus nav navbar navigation topnav breadcrumb breadcrumbs footer foot masthead topbar
     comment comments commentlist disqus respond reply replies discussion share sharing social related recommended popup modal
-    overlay toolbar pager pagination search searchbox skip widget widgets copyright disclaimer""".split()
+    overlay toolbar pager pagination search searchbox skip widget widgets copyright disclaimer notification notifications
+    announcement announcements responses""".split()
 )
+#: Words beside "header" that tell the header of an article from that of the page.
+ARTICLE_WORDS = frozenset("article post entry content story".split())
 _TOKEN = re.compile(
     r"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)(>|\Z)|<[/a-zA-Z][^>]*(?:>|\Z)""",
@@ -95,11 +98,8 @@ def _boilerplate(tag: str, attributes: str, parent: Node) -> bool:
     """Whether an element is out by its kind."""
     if tag in DROPPED:
         return True
-    if tag == "header":  # of the page; that of an article has its headline
-        while parent is not None and parent.tag not in ("article", "main"):
-            parent = parent.parent
-        if parent is None:
-            return True
+    if tag == "header" and not _in_article(parent):
+        return True
     if not attributes.strip() or tag in ("body", "html", "main", "article"):
         return False
     words: set[str] = set()
@@ -114,9 +114,18 @@ def _boilerplate(tag: str, attributes: str, parent: Node) -> bool:
             return True
         elif name == "role" and value.lower() in DROPPED_ROLES:
             return True
+    if "header" in words and words.isdisjoint(ARTICLE_WORDS) and not _in_article(parent):
+        return True
     return not words.isdisjoint(DROPPED_WORDS)
 
 
+def _in_article(node: Node | None) -> bool:
+    """Whether a header here is that of an article, which has its headline, and not of the page."""
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = here = Node("", None)

@@ -99,6 +99,9 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET
     close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance) & (F.col("fp") != F.col("other"))
 
     entries = index.withColumnRenamed("fp", "other")
+    if hot.isEmpty():  # as a rule; spares the second search
+        plain = probes.join(entries, "key").where(close)
+        return plain.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v"))
     plain = probes.join(entries.join(hot, "key", "left_anti"), "key").where(close)
 
     half = F.shiftrightunsigned(F.col("key"), 32)

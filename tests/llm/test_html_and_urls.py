@@ -27,6 +27,8 @@ PAGES = {
     "cut off": f"<html><head><title>T</title></head><body><article>{BODY}<ta",
     "unclosed": f"<article><h1>Head line<p>{'<p>'.join(PARAGRAPHS)}</article><div class=ad>Buy now</div>",
     "hidden": f"<article>{BODY}<p hidden>Gone</p><div style='display: none'>Gone</div><div aria-hidden=true>Gone</div></article>",
+    "header by class": f"<div class='site-header'><h2>Site name</h2></div><div class='post'><div class='post-header'><h1>Head line</h1></div>"
+    + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</div>",
     "header of the page": f"<header><h2>Site name</h2></header><article>{BODY}</article>",
 }
 
