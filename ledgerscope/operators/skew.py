@@ -97,9 +97,28 @@ def semi_join_keys(
     how: str = "left_semi",
     small: bool | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
-    """Keep (or with ``left_anti`` drop) the rows whose key is listed; broadcast a small list only."""
+    """Keep (or with ``left_anti`` drop) the rows whose key is listed; broadcast a small list only.
+
+    Beside a long list, the rows of hot keys meet only the listed ones among those keys, which are few and
+    broadcast; null keys are listed nowhere and are not shuffled.
+    """
     keys = keys.select(key)
     if has_at_most(keys, broadcast_rows) if small is None else small:
         return rows.join(F.broadcast(keys), key, how)
-    return rows.join(keys, key, how)
+    keyed = rows.where(F.col(key).isNotNull())
+    hot = hot_keys(keyed, key, hot_rows)
+    parts = []
+    if hot:
+        hot_list = F.broadcast(hot.table(rows, key).select(key))
+        hot_listed = F.broadcast(keys.join(hot_list, key, "left_semi").distinct())  # at most the hot keys
+        parts.append(keyed.join(hot_list, key, "left_semi").join(hot_listed, key, how))
+        keyed = keyed.join(hot_list, key, "left_anti")
+    parts.insert(0, keyed.join(keys.hint("merge"), key, how))
+    if how == "left_anti":
+        parts.append(rows.where(F.col(key).isNull()))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result

@@ -53,7 +53,7 @@ def merge_partials(partials: DataFrame) -> DataFrame:
     """Sum, minimum and maximum of partials of the same supplier."""
     return partials.groupBy("supplier_key").agg(
         *[F.sum(c).alias(c) for c in _COUNTS],
-        F.sum("amount_sum").alias("amount_sum"),
+        F.try_sum("amount_sum").alias("amount_sum"),
         F.min("first_issued").alias("first_issued"),
         F.max("last_issued").alias("last_issued"),
     )

@@ -32,10 +32,37 @@ def run_summary_stream(invoices: DataFrame, path: str, *, raw_key: str = "raw_ke
     stream.awaitTermination()
 
 
+def _compacted(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The newest merged partials, and the last batch in them."""
+    if not exists(spark, f"{path}/compacted"):
+        return None, -1
+    merged = spark.read.parquet(f"{path}/compacted")
+    last = merged.agg(F.max("upto").alias("v")).first()["v"]
+    return (None, -1) if last is None else (merged.where(F.col("upto") == last).drop("upto"), last)
+
+
+def _partials(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """One table of partials: the compacted ones and those of later batches."""
+    merged, last = _compacted(spark, path)
+    later = spark.read.parquet(f"{path}/partials").where(F.col(BATCH) > last)
+    later = (later if upto is None else later.where(F.col(BATCH) <= upto)).drop(BATCH)
+    return later if merged is None else merged.unionByName(later)
+
+
+def compact_summary(spark: SparkSession, path: str) -> None:
+    """Merge the partials of all finished batches, so that later reads start from one row per supplier.
+
+    To be called between runs of the stream. A batch number is announced in the folder name, so a repeated
+    call replaces what a broken one left. Folders of older batches may be deleted once no reader uses them.
+    """
+    last = spark.read.parquet(f"{path}/partials").agg(F.max(BATCH).alias("v")).first()["v"]
+    if last is not None and last > _compacted(spark, path)[1]:
+        merge_partials(_partials(spark, path, last)).write.mode("overwrite").parquet(f"{path}/compacted/upto={last}")
+
+
 def merged_summary(spark: SparkSession, path: str) -> DataFrame:
     """Supplier summary of all batches so far; equal to the summary of all invoices at once."""
-    partials = spark.read.parquet(f"{path}/partials").drop(BATCH)
-    return finish_summary(merge_partials(partials))
+    return finish_summary(merge_partials(_partials(spark, path)))
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame | None:

@@ -71,3 +71,15 @@ def test_hot_keys_and_joins(spark):
         kept = semi_join_keys(df, dim, "k", broadcast_rows=rows)
         assert kept.count() == 61
         assert semi_join_keys(df, dim, "k", how="left_anti", broadcast_rows=rows).count() == 51
+
+
+def test_semi_join_with_hot_and_null_keys(spark):
+    rows = [(i, None if i % 10 == 0 else "hot" if i % 3 else "cold" if i % 4 else f"k{i % 50}") for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, k string")
+    keys = spark.createDataFrame([("hot",), ("k1",), ("k6",), ("k6",), (None,)], "k string")
+    listed = {"hot", "k1", "k6"}
+    for hot_rows in (1, 100, 1_000_000):
+        kept = semi_join_keys(df, keys, "k", broadcast_rows=0, hot_rows=hot_rows)
+        gone = semi_join_keys(df, keys, "k", how="left_anti", broadcast_rows=0, hot_rows=hot_rows)
+        assert {r["i"] for r in kept.collect()} == {i for i, k in rows if k in listed}
+        assert sorted(r["i"] for r in gone.collect()) == [i for i, k in rows if k not in listed]

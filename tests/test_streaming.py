@@ -24,6 +24,21 @@ def test_summary_stream_equals_batch_and_continues(spark):
     assert sorted(incremental.merged_summary(spark, path).collect()) == sorted(batch.collect())
 
 
+def test_compaction_changes_nothing(spark):
+    path, files = workspace(spark, "stream"), workspace(spark, "input")
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    want = sorted(summary.supplier_summary(summary.clean_history(df)).collect())
+    for part in (df.where("amount < 10"), df.where("amount BETWEEN 10 AND 19"), df.where("amount > 19")):
+        part.coalesce(1).write.mode("append").parquet(files)
+        stream = spark.readStream.schema(df.schema).parquet(files)
+        incremental.run_summary_stream(stream, path)
+        incremental.compact_summary(spark, path)
+        incremental.compact_summary(spark, path)  # nothing new
+    assert sorted(incremental.merged_summary(spark, path).collect()) == want
+    incremental.compact_summary(spark, path)
+    assert sorted(incremental.merged_summary(spark, path).collect()) == want
+
+
 def test_upsert_batches_can_be_repeated(spark):
     path = workspace(spark, "store")
     rows = [("1", "One", "ACTIVO", "HABIDO", "1", "0", None, "s", 1), ("2", "Two", "BAJA", "HABIDO", "1", "1", None, "s", 1)]
