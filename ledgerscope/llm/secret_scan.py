@@ -36,6 +36,7 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
+LONG_HEX = r"[0-9a-f]{24,}"  # the runs of HEX that are long enough, without stopping at the others
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -43,10 +44,11 @@ WINDOW = 20
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: Bits a window needs by class; 20 random draws give about 3.4, 3.9 and 4.1 bits.
 THRESHOLDS = {"hex": 3.0, "upper": 3.4, "base64": 3.6}
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN_CLASS = "A-Za-z0-9+/_=-"
+RUN = f"[{RUN_CLASS}]{{{WINDOW},}}"
 ALLOWED = (
     r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^([A-Z]?[a-z]*[0-9]*[-_/+=]+)*[A-Z]?[a-z]*[0-9]*$", r"[eE][xX][aA][mM][pP][lL][eE]|[pP][lL][aA][cC][eE][hH][oO][lL][dD][eE][rR]|[dD][uU][mM][mM][yY]",
+    r"^([A-Z]?[a-z]*[0-9]*[-_/+=])*[A-Z]?[a-z]*[0-9]*$", r"[eE][xX][aA][mM][pP][lL][eE]|[pP][lL][aA][cC][eE][hH][oO][lL][dD][eE][rR]|[dD][uU][mM][mM][yY]",
 )
 BLOCK = 256
 RESULTS = ("spans",)
@@ -67,8 +69,12 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(plain, f"(?:{pattern})", "\x01$0\x01"), "\x01", -1)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, value), end exclusive, in code points."""
+#: What a text must have for a kind to occur at all; quicker to see than a match.
+NEEDED = {"assign": "[:=]", "access": "AKIA", "hex": LONG_HEX, "entropy": "[0-9]"}
+
+
+def matches(text: Column, pattern: str, needed: str) -> Column:
+    """All matches as (start, end, value), end exclusive, in code points. A text with a match matches ``needed``."""
 
     def located(parts: Column) -> Column:
         lengths = F.transform(parts, lambda p: F.length(p))
@@ -84,7 +90,7 @@ def matches(text: Column, pattern: str) -> Column:
             ),
         )
 
-    return F.when(text.rlike(pattern), let(pieces(text, pattern), located)).otherwise(
+    return F.when(text.rlike(needed) & text.rlike(pattern), let(pieces(text, pattern), located)).otherwise(
         _no_spans("array<struct<start:int,end:int,value:string>>")
     )
 
@@ -122,9 +128,9 @@ def _block(acc: Column, i: Column, parts: Column, lengths: Column) -> Column:
 
 def base_spans(text: Column, kind: str) -> Column:
     """The spans of one base kind as (start, end, kind)."""
-    pattern = {"assign": ASSIGN, "access": ACCESS, "hex": HEX + "{%d,}" % LEAST["hex"]}[kind]
+    pattern = {"assign": ASSIGN, "access": ACCESS, "hex": LONG_HEX}[kind]
     value = {"assign": lambda m: F.regexp_extract(m["value"], ASSIGN, 2)}.get(kind, lambda m: m["value"])
-    good = F.filter(matches(text, pattern), lambda m: F.length(value(m)) >= LEAST[kind])
+    good = F.filter(matches(text, pattern, NEEDED[kind]), lambda m: F.length(value(m)) >= LEAST[kind])
     return F.transform(good, lambda m: _span(m["start"], m["end"], kind))
 
 
@@ -136,7 +142,8 @@ def _span(start: Column, end: Column, kind: str) -> Column:
 
 def entropy_spans(text: Column) -> Column:
     """The spans whose windows reach the threshold of their run's class, as (start, end, kind)."""
-    runs = F.filter(matches(text, RUN), lambda m: ~_any(m["value"], ALLOWED))
+    # A run starts where no character of its class stands before; runs without a digit are allowed anyway.
+    runs = F.filter(matches(text, f"(?<![{RUN_CLASS}]){RUN}", NEEDED["entropy"]), lambda m: ~_any(m["value"], ALLOWED))
     found = F.transform(
         runs,
         lambda m: F.transform(_busy(m["value"]), lambda s: _span(m["start"] + s["a"], m["start"] + s["b"], "entropy")),
