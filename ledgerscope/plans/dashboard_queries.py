@@ -135,9 +135,20 @@ def risk_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumns({c: F.round(c, 10) for c in ("mean_probability", "row_mean")})
 
 
-@query("risk_heatmap_wide")
+@query(
+    "risk_heatmap_wide",
+    """
+WITH rows_ AS (SELECT doc_type, CAST(date_trunc('month', issued_ts) AS DATE) AS month, probability FROM predictions
+  WHERE issued_ts IS NOT NULL),
+cells AS (SELECT doc_type, ['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Set','Oct','Nov','Dic'][month(month)]
+    || ' ' || lpad(CAST(year(month) % 100 AS VARCHAR), 2, '0') AS month_label, round(avg(probability), 10) AS p
+  FROM rows_ WHERE month IN (SELECT DISTINCT month FROM rows_ ORDER BY month DESC LIMIT 12) GROUP BY doc_type, month)
+SELECT * FROM (PIVOT cells ON month_label USING max(p) GROUP BY doc_type)""",
+    ("predictions",),
+)
 def risk_heatmap_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.risk_heatmap_wide(fx.predictions(spark, sf_dir))
+    wide = dashboard.risk_heatmap_wide(fx.predictions(spark, sf_dir))
+    return wide.withColumns({c: F.round(F.col(f"`{c}`"), 10) for c in wide.columns if c != "doc_type"})
 
 
 @query(

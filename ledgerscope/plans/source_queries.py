@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerscope import schema as S
-from ledgerscope.operators import enrich
+from ledgerscope.operators import enrich, learn
 from ledgerscope.plans import fixtures as fx
 from ledgerscope.plans.cleaning_queries import summary_sql
 from ledgerscope.plans.registry import query
@@ -153,6 +153,75 @@ def data_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("example", F.when(F.col("data_type") == "double", "").otherwise(F.col("example")))
 
 
+_TYPED = T.StructType(
+    [
+        T.StructField("row_no", T.LongType()), T.StructField("supplier_key", T.StringType()), T.StructField("state", T.StringType()),
+        T.StructField("amount", T.DoubleType()), T.StructField("issued_ts", T.TimestampType()),
+    ]
+)
+
+
+@query("written_history", "SELECT row_no, supplier_key, state, amount, issued_ts FROM invoices", ("invoices",))
+def written_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the history, a folder per state, and read back the columns that are asked for."""
+    path, rows = workspace(spark, "written"), fx.invoices(spark, sf_dir)
+    invoices.write_dataset(rows, path, partition_by=["state"])
+    return invoices.read_invoices(spark, path, _TYPED.names, _TYPED)
+
+
+@query(
+    "import_report",
+    """SELECT count(*) FILTER (WHERE supplier_key IS NOT NULL) AS rows, count(DISTINCT supplier_key) AS suppliers,
+  CAST(min(issued_ts) FILTER (WHERE supplier_key IS NOT NULL) AS DATE) AS first_day,
+  CAST(max(issued_ts) FILTER (WHERE supplier_key IS NOT NULL) AS DATE) AS last_day,
+  count(*) FILTER (WHERE supplier_key IS NOT NULL AND state = 'Aceptada') AS accepted,
+  count(*) FILTER (WHERE supplier_key IS NULL) || ' rows without a valid supplier key, left out' AS no_key,
+  count(*) FILTER (WHERE supplier_key IS NOT NULL AND issued_ts IS NULL) || ' rows with an unreadable issue date' AS no_date
+FROM invoices""",
+    ("invoices",),
+)
+def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detect, convert, write and report on a delimited file; the report as one row."""
+    source = _import_file(spark, sf_dir).withColumn("row_no", F.col("row_no").cast("bigint"))
+    report = importing.import_history(source, workspace(spark, "imported"), "row_no")
+    said = {w.split(" ", 1)[1]: w for w in report.warnings if w[0].isdigit()}
+    accepted = report.states.where(F.col("state") == S.ACCEPTED).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    row = (
+        report.rows, report.suppliers, report.first_day, report.last_day, accepted,
+        said.get("rows without a valid supplier key, left out"), said.get("rows with an unreadable issue date"),
+    )
+    schema = "rows bigint, suppliers bigint, first_day date, last_day date, accepted bigint, no_key string, no_date string"
+    return spark.createDataFrame([row], schema)
+
+
+@query(
+    "filled_categories",
+    """SELECT row_no, coalesce(doc_type, 'NA') AS doc_type, coalesce(currency, 'NA') AS currency FROM invoices""",
+    ("invoices",),
+)
+def filled_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn.fill_missing_categories(fx.invoices(spark, sf_dir).select("row_no", "doc_type", "currency"))
+
+
+@query(
+    "membership_flags_file",
+    """SELECT supplier_key, is_withholding, is_good_taxpayer, 0 AS is_fuel_perception, 0 AS is_domestic_perception FROM flags""",
+    ("flags",),
+)
+def membership_flags_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write two of the flags with a second, differing row per key behind the first; the first one counts."""
+    flags = fx.flags(spark, sf_dir).select("supplier_key", "is_withholding", "is_good_taxpayer")
+    path = workspace(spark, "flags")
+    twice = F.array(
+        F.struct("supplier_key", "is_withholding", "is_good_taxpayer"),
+        F.struct(
+            "supplier_key", (1 - F.col("is_withholding")).alias("is_withholding"), (1 - F.col("is_good_taxpayer")).alias("is_good_taxpayer")
+        ),
+    )
+    flags.select(F.inline(twice)).write.parquet(path)
+    return registries.read_membership_flags(spark, path)
+
+
 # --------------------------------------------------------------------------- registry files
 @query(
     "registry_file",
