@@ -48,6 +48,8 @@ RULES = (
 SEED_TERMS = ("casino", "pills", "bets", "spam", "porn", "viagra", "lottery", "track")
 SAMPLE = 10_000
 SMOOTHING = 20.0
+#: How many times the sample the rows below the bound are, at the estimated number of different URLs.
+SPARE = 3
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "digits", "digit_share", "entropy", "host_entropy", "parameters",
     "hyphens", "host_hyphens", "dots", "fragment", "suffix_share", "suffix_count",
@@ -145,11 +147,15 @@ def _with_suffix(features: DataFrame, suffixes: DataFrame, share: float, host_co
 def fit(urls: DataFrame, url_col: str = "url", sample: int = SAMPLE) -> UrlModel:
     """Train on the ``sample`` distinct labelled URLs with the smallest hashes."""
     host, path = split_url(F.col("_uf_url"))
+    known = urls.select(F.col(url_col).alias("_uf_url")).where(F.col("_uf_url").contains("://"))
+    # Only hashes below a bound take part in the choice, so that few rows meet in it however many URLs there are.
+    different = known.agg(F.approx_count_distinct("_uf_url")).first()[0]
+    bound = min(1.0, SPARE * sample / max(different, 1))
+    draw = F.shiftrightunsigned(F.xxhash64("_uf_url"), 1)
     labelled = (
-        urls.select(F.col(url_col).alias("_uf_url"))
-        .where(F.col("_uf_url").contains("://"))
+        known.where(draw <= F.lit(min(int(bound * (1 << 63)), (1 << 63) - 1)))
         .distinct()
-        .orderBy(F.xxhash64("_uf_url"), "_uf_url")
+        .orderBy(draw, "_uf_url")
         .limit(sample)
         .select("_uf_url", host.alias("_uf_host"), path.alias("_uf_path"))
     )
