@@ -38,14 +38,14 @@ def components(edges: DataFrame) -> DataFrame:
     points at its root. The edges are checkpointed each round; only two sums per round reach the driver.
     An empty table gives an empty table; loops and repeated edges do no harm, edges with nulls are left out.
     """
-    pairs = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    now = (
-        pairs.where(F.col("u") != F.col("v"))
+    pairs = (
+        edges.where(F.col("u").isNotNull() & F.col("v").isNotNull())
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
-        .checkpoint()
+        .checkpoint()  # read twice
     )
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    now = pairs.where(F.col("u") != F.col("v"))
     mark = None
     for _ in range(MOST_ROUNDS):
         # A round that changes nothing leaves stars: every node has one edge, to its root.
