@@ -56,6 +56,9 @@ IMPLIED = {
     "tfoot": (frozenset({"tbody", "thead", "tfoot"}), frozenset({"table"})),
 }
 
+#: What can stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
+
 #: What never is main text: by element, role, and word of a class or an id.
 DROPPED = frozenset(
     """head nav footer aside form script style noscript template iframe object embed svg math canvas audio video select
@@ -140,20 +143,42 @@ def parse(page: str) -> Node:
         opened[upto.tag] -= 1
         return upto.parent
 
+    def put(text: str) -> None:
+        """Add text; in a head it ends the head."""
+        nonlocal here, content
+        solid = bool(text.strip(" \t\n\r\f\v"))
+        if solid and here.tag == "head":
+            here = close(here, here)
+        content = content or (solid and not opened["template"])
+        here.items.append(text)
+
+    content = False  # of a body, with or without its tag
     while (m := find(page, at)) is not None:
         if m.start() > at:
-            here.items.append(entities.unescape(page[at : m.start()]))
+            put(entities.unescape(page[at : m.start()]))
         at = m.end()
         if m[2] is None or not m[4]:  # a comment, a declaration, or a tag that the page ends in
             continue
         tag = m[2].lower()
         if m[1]:
-            if opened[tag]:
+            # What comes after the end of the body still belongs to it.
+            if opened[tag] and tag not in ("body", "html"):
                 up = here
                 while up.tag != tag:
                     up = up.parent
                 here = close(here, up)
             continue
+        if tag not in IN_HEAD and not opened["template"]:
+            if opened["head"]:
+                up = here
+                while up.tag != "head":
+                    up = up.parent
+                here = close(here, up)
+            if tag == "body" and (content or opened["body"]):
+                continue
+            content = content or tag != "body"
+        elif tag == "html" and opened["html"]:
+            continue
         ends, stops = IMPLIED.get(tag, ((), ()))
         if any(opened[t] for t in ends):
             up, last = here, None
@@ -175,7 +200,7 @@ def parse(page: str) -> Node:
             opened[tag] += 1
             here = node
     if at < len(page):
-        here.items.append(entities.unescape(page[at:]))
+        put(entities.unescape(page[at:]))
     return root
 
 
