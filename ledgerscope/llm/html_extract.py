@@ -2,7 +2,8 @@
 
 A tolerant tokenizer builds a small tree of each page: void and raw-text elements, implied end tags and cut-off pages
 are dealt with. Scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and comments are taken
-out by element, role or the words of their class and id. For every other node the density is
+out by element, role or the words of their class and id; what is out by words or as a form stays if it holds the article, or
+most of the body's text beside links, and no article of the page is elsewhere. For every other node the density is
 
     C / T * log(C / LC * T / LT) / log(ln(C * LC / NC + LC_body * C / C_body + e))
 
@@ -59,6 +60,8 @@ IMPLIED = {
 #: What can stand in a head; anything else ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
 
+HEADINGS_AND_P = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+
 #: What never is main text: by element, role, and word of a class or an id.
 DROPPED = frozenset(
     """head nav footer aside form script style noscript template iframe object embed svg math canvas audio video select
@@ -73,6 +76,10 @@ DROPPED_WORDS = frozenset(
     overlay toolbar pager pagination search searchbox skip widget widgets copyright disclaimer notification notifications
     announcement announcements responses""".split()
 )
+#: Class names that tell a state of the page, not what an element is: by their first or last word.
+STATE_FIRST, STATE_LAST = frozenset("has no with".split()), frozenset("open fixed".split())
+#: Words that an id of a section of comments or links may have besides; with any other the id is an anchor.
+COMPANIONS = frozenset("area articles bar block box container form items links list posts section stories wrap wrapper".split())
 #: Words beside "header" that tell the header of an article from that of the page.
 ARTICLE_WORDS = frozenset("article post entry content story".split())
 _TOKEN = re.compile(
@@ -88,19 +95,36 @@ _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 class Node:
     """An element with its children (nodes and strings), and the counts of its subtree."""
 
-    __slots__ = ("tag", "parent", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "dropped", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.doubtful = False  # dropped by words or as a form: what it holds decides
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attributes: str, parent: Node) -> bool:
-    """Whether an element is out by its kind."""
+def _named(tag: str, name: str, value: str, parent: Node) -> set[str]:
+    """The words of a class or an id that tell what an element is."""
+    words: set[str] = set()
+    if name == "id" and tag in HEADINGS_AND_P:
+        return words
+    for token in value.split():
+        own = [w.lower() for w in _WORDS.findall(token)]
+        if own and own[0] not in STATE_FIRST and (len(own) == 1 or own[-1] not in STATE_LAST):
+            words.update(own)
+    if name == "id" and tag == "section":
+        anchor = words == {"discussion"} and _in_article(parent)
+        if anchor or not words <= DROPPED_WORDS | COMPANIONS:
+            return set()
+    return words
+
+
+def _boilerplate(tag: str, attributes: str, parent: Node) -> bool | None:
+    """Whether an element is out by its kind; None if what it holds decides."""
     if tag in DROPPED:
-        return True
+        return None if tag == "form" else True
     if tag == "header" and not _in_article(parent):
         return True
     if not attributes.strip() or tag in ("body", "html", "main", "article"):
@@ -110,7 +134,7 @@ def _boilerplate(tag: str, attributes: str, parent: Node) -> bool:
         name = (m[1] or m[5]).lower()
         value = m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words.update(w.lower() for w in _WORDS.findall(value))
+            words |= _named(tag, name, value, parent)
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         elif name == "style" and "display:none" in value.lower().replace(" ", ""):
@@ -118,8 +142,8 @@ def _boilerplate(tag: str, attributes: str, parent: Node) -> bool:
         elif name == "role" and value.lower() in DROPPED_ROLES:
             return True
     if "header" in words and words.isdisjoint(ARTICLE_WORDS) and not _in_article(parent):
-        return True
-    return not words.isdisjoint(DROPPED_WORDS)
+        return None
+    return False if words.isdisjoint(DROPPED_WORDS) else None
 
 
 def _in_article(node: Node | None) -> bool:
@@ -190,12 +214,14 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 here = close(here, last)
-        node = Node(tag, here, _boilerplate(tag, m[3], here))
+        out = _boilerplate(tag, m[3], here)
+        node = Node(tag, here, out is not False)
+        node.doubtful = out is None
         here.items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
-            node.dropped = True
+            node.dropped, node.doubtful = True, False
         elif tag not in VOID:
             opened[tag] += 1
             here = node
@@ -204,6 +230,44 @@ def parse(page: str) -> Node:
     return root
 
 
+def _hold(body: Node) -> None:
+    """Take back in what is out by words or as a form, but holds the article or most of the body's text beside links."""
+    nodes, stack = [], [(body, False)]
+    while stack:
+        node, link = stack.pop()
+        nodes.append((node, link or node.tag == "a"))
+        stack.extend((c, nodes[-1][1]) for c in node.items if isinstance(c, Node) and (c.doubtful or not c.dropped))
+    if not any(n.doubtful for n, _ in nodes):
+        return
+    text: dict[Node, int] = {}
+    articles: dict[Node, int] = {}  # so many articles below
+    for node, link in reversed(nodes):
+        below = [c for c in node.items if isinstance(c, Node) and c in text]
+        own = 0 if link else sum(len(_SPACE.sub(" ", c.strip(" \t\n\r\f\v"))) for c in node.items if isinstance(c, str))
+        text[node] = own + sum(text[c] for c in below)
+        articles[node] = sum(articles[c] for c in below) + (node.tag in ("article", "main") and text[node] > 0)
+    # An article that no doubtful element is around is the page's own, and those in doubtful ones are comments and the like.
+    firm = _firm(body, text)
+    around: dict[Node, int] = {}  # so many of the page's own articles are around
+    for node, _ in nodes:  # parents first
+        up = node.parent
+        around[node] = around[up] + (up in firm) if node is not body else 0
+        if node.doubtful and len(firm) == around[node] and (articles[node] or 2 * text[node] > text[body]):
+            node.dropped = node.doubtful = False
+            firm |= _firm(node, text)
+
+
+def _firm(top: Node, text: dict[Node, int]) -> set[Node]:
+    """The articles with text in an element that stays, without those in doubtful ones."""
+    found, stack = set(), [top]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main") and text[node]:
+            found.add(node)
+        stack.extend(c for c in node.items if isinstance(c, Node) and c in text and not c.doubtful)
+    return found
+
+
 def _ordered(root: Node) -> list[Node]:
     """All nodes that are not out, parents first."""
     out, stack = [], [root]
@@ -284,8 +348,8 @@ def main_text(page: str) -> str:
     root = parse(page)
     nodes = _ordered(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    if body is not root:
-        nodes = _ordered(body)
+    _hold(body)
+    nodes = _ordered(body)
     _count(nodes)
     if not body.chars:
         return ""

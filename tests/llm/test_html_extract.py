@@ -1,4 +1,4 @@
-"""Pages whose article was lost: open heads, early ends of the body."""
+"""Pages whose article was lost: open heads, early ends of the body, wrappers with words of boilerplate."""
 
 from __future__ import annotations
 
@@ -27,3 +27,20 @@ def test_open_heads_and_early_ends(page):
 
 def test_text_ends_a_head():
     assert main_text("<head><title>T</title>Bare text") == "Bare text"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='content has-sidebar'>{TEXT}</div></body>",
+        f"<body><div class='nav-open'><div class='header-fixed'><article>{TEXT}</article></div></div></body>",
+        f"<body><form action=/x><div>{TEXT}</div><input></form></body>",
+        f"<body><div class='sidebar layout'><main>{TEXT}</main><div class=comments><p>A reader.</p></div></div></body>",
+        f"<body><article>{TEXT.replace('<h1>', '<h1 id=search-methods>').replace('<p>', '<p id=notice>')}</article></body>",
+        f"<body><article>{TEXT.split('<p>Second')[0]}<section id=related-work><p>Second text of the page.</p></section></article></body>",
+        f"<body><article>{TEXT.split('<p>Second')[0]}<section id=discussion><p>Second text of the page.</p></section></article></body>",
+        f"<body><article>{TEXT}</article><div class=comments><article>{'A long comment of a reader. ' * 30}</article></div></body>",
+    ],
+)
+def test_words_and_forms_around_the_article(page):
+    assert main_text(page) == WANT
