@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import ascii_lower, stored, table, whole_text
+from ledgerscope.llm.common import stored, table, whole_text
 
 THRESHOLD, WORDS, TOP = 30, 4, 2000
 #: A longer phrase takes the place of a shorter one at so many hundredths of its count.
@@ -48,8 +49,11 @@ WAITING = 1 << 21
 #: So many surviving hashes are sent to the workers.
 SHIPPED = 1 << 23
 
-_TOKEN = re.compile(r"[^\x20\x09]+")
-_BREAK = "\n"
+_TOKEN = re.compile(rb"[^\x20\x09]+")
+_BREAK = b"\n"
+_PLAIN = bytes.maketrans(
+    string.ascii_uppercase.encode() + PIECE_ENDS.encode(), string.ascii_lowercase.encode() + _BREAK * len(PIECE_ENDS)
+)
 _SEED = 12
 _COUNTED = "lang string, words int, phrase string, code long, n long"
 
@@ -58,14 +62,15 @@ class Portion:
     """The words of some texts as numbers, with a break between pieces."""
 
     def __init__(self) -> None:
-        self.number: dict[str, int] = {_BREAK: 0}
+        self.number: dict[bytes, int] = {_BREAK: 0}
         self.langs: dict[str, int] = {}
         self.parts: list[np.ndarray] = []
         self.lang_parts: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, lang: str, text: str) -> None:
-        tokens = _TOKEN.findall(text)
+    def add(self, lang: str, text: bytes) -> None:
+        # UTF-8 has no letter A-Z or mark inside another character.
+        tokens = _TOKEN.findall(text.translate(_PLAIN).replace(_BREAK, b" " + _BREAK + b" "))
         if not tokens:
             return
         tokens.append(_BREAK)
@@ -85,8 +90,7 @@ class Portion:
         self.words = np.concatenate(self.parts)
         self.lang = np.concatenate(self.lang_parts)
         digest = xxhash.xxh64_intdigest
-        names = (w.encode("utf-8", "surrogatepass") for w in self.number)
-        self.word_hash = np.fromiter((digest(w, _SEED) for w in names), np.uint64, len(self.number))
+        self.word_hash = np.fromiter((digest(w, _SEED) for w in self.number), np.uint64, len(self.number))
         self.lang_hash = np.fromiter((digest(x.encode(), _SEED + 1) for x in self.langs), np.uint64, len(self.langs))
 
     def sequences(self, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -109,7 +113,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[Portion]:
-    """Portions of the rows ``lang, text``."""
+    """Portions of the rows ``lang, text``, the text as bytes."""
     portion = Portion()
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -176,13 +180,12 @@ def _packed_counts(docs: DataFrame, words: int, partitions: int) -> DataFrame:
             codes = _codes(np.concatenate([h for _, _, h in portion.sequences(words)]), partitions)
             codes, counts = np.unique(codes, return_counts=True)
             part = codes >> 32
-            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
-            ends = [*starts[1:], len(part)]
+            bounds = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else [0]
             keys, more = codes.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)
             large = counts.copy()
             large[counts < 255] = 0
             rows = {"part": [], "keys": [], "counts": [], "large": []}
-            for a, b in zip(starts, ends, strict=True):
+            for a, b in itertools.pairwise(bounds):
                 rows["part"].append(int(part[a]))
                 rows["keys"].append(keys[a:b].tobytes())
                 rows["counts"].append(more[a:b].tobytes())
@@ -221,7 +224,7 @@ def _counted(docs: DataFrame, words: int, partitions: int, kept) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes_kept = None if kept is None else kept.value
         for portion in _portions(batches):
-            names, langs = np.array(list(portion.number), object), np.array(list(portion.langs), object)
+            names, langs = np.array([w.decode() for w in portion.number], object), np.array(list(portion.langs), object)
             total = np.bincount(portion.lang[portion.words != 0], minlength=len(langs))
             yield _rows(langs, 0, [""] * len(langs), np.full(len(langs), -1), total)
             for n, at, hashes in portion.sequences(words):
@@ -255,13 +258,6 @@ def _rows(lang, words: int, phrases, codes, counts) -> pa.RecordBatch:
     )
 
 
-def prepared(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """``lang, text`` in lower case, where a single line feed between blanks ends a piece."""
-    text = F.translate(ascii_lower(whole_text(text_col)), PIECE_ENDS, _BREAK * len(PIECE_ENDS))
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
-    return docs.select(lang.alias("lang"), F.replace(text, F.lit(_BREAK), F.lit(f" {_BREAK} ")).alias("text"))
-
-
 def frequent_sequences(
     docs: DataFrame,
     lang_col: str = "lang",
@@ -273,9 +269,10 @@ def frequent_sequences(
 ) -> DataFrame:
     """``lang, words, phrase, n`` of all sequences that occur ``threshold`` times, written; ``words`` 0 is the sum of all words."""
     spark = docs.sparkSession
-    texts = prepared(docs, lang_col, text_col)
-    # Every second character begins a word at most, and every word as many sequences as words are counted.
-    mass = (texts.agg(F.sum((F.length("text") + 1) / 2)).first()[0] or 0) * words
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
+    texts = docs.select(lang.alias("lang"), whole_text(text_col).cast("binary").alias("text"))
+    # Every second byte begins a word at most, and every word as many sequences as words are counted.
+    mass = (texts.agg(F.sum((F.octet_length("text") + 1) / 2)).first()[0] or 0) * words
     least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     partitions = int(max(least, mass // MASS + 1))
     found = stored(candidates(texts, threshold, words, partitions, counters), "phrase-candidates")
