@@ -1,8 +1,8 @@
 """Exact deduplication: group by a 128-bit content hash, compare bytes inside the groups.
 
-The text itself is one of the grouping keys, so only equal bytes meet and a collision of the hash
-forms two groups. Map tasks combine their copies before the shuffle: of a text that a third of all
-rows repeat, each task sends one row. Unique texts leave no group; the rows then look up the few
+First the hashes alone are counted. Texts are compared only where a hash occurs twice or more: there the text itself is one of
+the grouping keys, so only equal bytes meet and a collision of the hash forms two groups. Map tasks combine their copies
+before both shuffles: of a text that a third of all rows repeat, each task sends one row. The rows then look up the
 groups of two or more by hash, in a join without texts, whose hot keys adaptive execution splits.
 
 Defined results: null text equals empty text. Of equal texts the row with the largest (or smallest)
@@ -37,7 +37,9 @@ def exact_dedup(
     rows = without(docs, *RESULTS).withColumns(
         {"_xd_h1": h1, "_xd_h2": h2, "_xd_sha": F.unhex(F.sha2(whole_text(text_col).cast("binary"), 256))}
     )
-    texts = rows.groupBy(*KEYS, whole_text(text_col).alias("_xd_text")).agg(
+    repeated = rows.groupBy(*KEYS[:2]).agg(F.count(F.lit(1)).alias("_xd_n")).where(F.col("_xd_n") > 1).select(*KEYS[:2])
+    copies = rows.join(stored(repeated, "repeated-hashes"), KEYS[:2], "left_semi")
+    texts = copies.groupBy(*KEYS, whole_text(text_col).alias("_xd_text")).agg(
         choose(id_col).alias("_xd_keep"), F.count(F.lit(1)).alias("_xd_size")
     )
     groups = (
