@@ -6,7 +6,7 @@ import re
 
 import public_tokenizers
 from test_mixing import plain_fill
-from test_simhash import plain_components, plain_fingerprint
+from test_near_text import labels_of
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -49,12 +49,9 @@ def plain_pipeline(rows):
     for i, (t, *_) in docs.items():
         last[t] = max(i, last.get(t, i))
     docs = {i: d for i, d in docs.items() if last[d[0]] == i}
-    ids: dict[int, list[int]] = {}
-    for i, (t, *_) in docs.items():
-        ids.setdefault(plain_fingerprint(t), []).append(i)
-    label = plain_components(ids)
-    stay = {label[fp] for fp in ids}
-    return {i: d for i, d in docs.items() if i in stay}
+    ids = sorted(docs)
+    first = labels_of([docs[i][0] for i in ids])
+    return {i: docs[i] for place, i in enumerate(ids) if first[place] == place}
 
 
 def test_stages_agree(spark):
