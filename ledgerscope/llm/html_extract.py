@@ -9,8 +9,11 @@ most of the body's text beside links, and no article of the page is elsewhere. F
 
 with characters C, tags T, link characters LC, other characters NC and link tags LT below it (0 counts as 1): characters
 per tag, less where links hold them. The node whose children have the greatest sum of densities holds the main
-text. The least density on the way from it to the body is the threshold; next to that way, nodes that reach the
-threshold are added. A list of links inside the text is left out.
+text. The least density on the way from it to the body is the threshold; next to that way, blocks that reach the threshold or hold
+a sentence or the headline are added, and so are bare sentences and headings. Nothing inside the text is left out for its links, except a list
+of nothing but links before all other text of a page without an article. Words of a class or an id count for blocks only. What
+they say is certain if the last word that matters is one of them ("cookie-notice"); else ("search-strategy") the
+element stays in the main text, unless it is a list of links or a form.
 
 Text of a block is joined with single spaces, blocks in page order with line breaks. Defined results: null or empty
 html, and pages without text, give an empty string; null bytes and broken markup do no harm; nesting of any depth
@@ -64,7 +67,7 @@ HEADINGS_AND_P = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 #: What never is main text: by element, role, and word of a class or an id.
 DROPPED = frozenset(
-    """head nav footer aside form script style noscript template iframe object embed svg math canvas audio video select
+    """head nav footer aside form script style noscript template iframe object embed svg canvas audio video select
     button textarea input dialog menu search datalist title""".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -80,6 +83,15 @@ DROPPED_WORDS = frozenset(
 STATE_FIRST, STATE_LAST = frozenset("has no with".split()), frozenset("open fixed".split())
 #: Words that an id of a section of comments or links may have besides; with any other the id is an anchor.
 COMPANIONS = frozenset("area articles bar block box container form items links list posts section stories wrap wrapper".split())
+#: Words that a class may end in without telling what an element is.
+TRAILING = COMPANIONS | frozenset(
+    "item title heading header count thread feed tree root app embed holder inner outer content body text main top bottom left right col column row".split()
+)
+#: Controls that make an element a form.
+CONTROLS = frozenset("input select textarea button form".split())
+_SENTENCE = re.compile(r"""[.!?:;…。！？]["')\]»”’]*$""")
+#: A block beside the main text without a sentence or headline needs so many characters, and the density.
+LEAST_CHARS = 80
 #: Words beside "header" that tell the header of an article from that of the page.
 ARTICLE_WORDS = frozenset("article post entry content story".split())
 _TOKEN = re.compile(
@@ -95,55 +107,67 @@ _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 class Node:
     """An element with its children (nodes and strings), and the counts of its subtree."""
 
-    __slots__ = ("tag", "parent", "items", "dropped", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "dropped", "doubtful", "weak", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.doubtful = False  # dropped by words or as a form: what it holds decides
+        self.weak = False  # dropped by words that need not mean it: stays inside the main text
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _named(tag: str, name: str, value: str, parent: Node) -> set[str]:
-    """The words of a class or an id that tell what an element is."""
-    words: set[str] = set()
+def _tokens(tag: str, name: str, value: str, parent: Node) -> list[list[str]]:
+    """The words of each class or id that tell what an element is."""
     if name == "id" and tag in HEADINGS_AND_P:
-        return words
+        return []
+    tokens = []
     for token in value.split():
         own = [w.lower() for w in _WORDS.findall(token)]
         if own and own[0] not in STATE_FIRST and (len(own) == 1 or own[-1] not in STATE_LAST):
-            words.update(own)
+            tokens.append(own)
     if name == "id" and tag == "section":
+        words = {w for t in tokens for w in t}
         anchor = words == {"discussion"} and _in_article(parent)
         if anchor or not words <= DROPPED_WORDS | COMPANIONS:
-            return set()
-    return words
+            return []
+    return tokens
+
+
+def _certain(token: list[str]) -> bool:
+    """Whether the last word that matters is one of boilerplate."""
+    while len(token) > 1 and token[-1] not in DROPPED_WORDS and (token[-1] in TRAILING or token[-1].isdigit()):
+        token = token[:-1]
+    return token[-1] in DROPPED_WORDS
 
 
-def _boilerplate(tag: str, attributes: str, parent: Node) -> bool | None:
-    """Whether an element is out by its kind; None if what it holds decides."""
+def _boilerplate(tag: str, attributes: str, parent: Node) -> str:
+    """Whether an element is "in" or "out" by its kind; "doubtful" if what it holds decides, "weak" if also where it is."""
     if tag in DROPPED:
-        return None if tag == "form" else True
+        return "doubtful" if tag == "form" else "out"
     if tag == "header" and not _in_article(parent):
-        return True
+        return "out"
     if not attributes.strip() or tag in ("body", "html", "main", "article"):
-        return False
-    words: set[str] = set()
+        return "in"
+    tokens: list[list[str]] = []
     for m in _ATTRIBUTE.finditer(attributes):
         name = (m[1] or m[5]).lower()
         value = m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words |= _named(tag, name, value, parent)
+            tokens += _tokens(tag, name, value, parent) if tag in BLOCKS else []
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "out"
         elif name == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
+            return "out"
         elif name == "role" and value.lower() in DROPPED_ROLES:
-            return True
+            return "out"
+    words = {w for t in tokens for w in t}
     if "header" in words and words.isdisjoint(ARTICLE_WORDS) and not _in_article(parent):
-        return None
-    return False if words.isdisjoint(DROPPED_WORDS) else None
+        return "doubtful"
+    if words.isdisjoint(DROPPED_WORDS):
+        return "in"
+    return "doubtful" if any(map(_certain, tokens)) else "weak"
 
 
 def _in_article(node: Node | None) -> bool:
@@ -215,13 +239,13 @@ def parse(page: str) -> Node:
             if last is not None:
                 here = close(here, last)
         out = _boilerplate(tag, m[3], here)
-        node = Node(tag, here, out is not False)
-        node.doubtful = out is None
+        node = Node(tag, here, out != "in")
+        node.doubtful, node.weak = out in ("doubtful", "weak"), out == "weak"
         here.items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
-            node.dropped, node.doubtful = True, False
+            node.dropped, node.doubtful, node.weak = True, False, False
         elif tag not in VOID:
             opened[tag] += 1
             here = node
@@ -310,10 +334,34 @@ def _link_list(node: Node) -> bool:
     return node.link_tags > 1 and 2 * node.link_chars > node.chars
 
 
-def _blocks(nodes: list[Node]) -> list[str]:
-    """The blocks of the given subtrees, in order."""
+def _stays(node: Node) -> bool:
+    """Whether an element that only may be boilerplate is text: no list of links and no form."""
+    chars = links = tags = 0
+    stack: list[tuple[Node, bool]] = [(node, False)]
+    while stack:
+        here, link = stack.pop()
+        if here.tag in CONTROLS:
+            return False
+        tags += here.tag == "a"
+        for c in here.items:
+            if isinstance(c, str):
+                n = len(_SPACE.sub(" ", c.strip(" \t\n\r\f\v")))
+                chars, links = chars + n, links + n * (link or here.tag == "a")
+            elif c.weak or not c.dropped or c.tag in CONTROLS:
+                stack.append((c, link or here.tag == "a"))
+    return not (tags > 1 and 2 * links > chars)
+
+
+def _menu(node: Node) -> bool:
+    """Whether a list is nothing but links."""
+    return node.tag in ("ul", "ol", "div") and node.link_tags > 1 and node.link_chars == node.chars
+
+
+def _blocks(top: Node) -> list[str]:
+    """The blocks of a subtree, in order."""
     out: list[str] = []
     run: list[str] = []
+    article = top.tag in ("article", "main")
 
     def end() -> None:
         text = _SPACE.sub(" ", "".join(run)).strip(" ")
@@ -321,25 +369,53 @@ def _blocks(nodes: list[Node]) -> list[str]:
         if text:
             out.append(text)
 
-    for top in nodes:
-        stack: list[Node | str | None] = [top]
-        while stack:
-            item = stack.pop()
-            if item is None:
+    stack: list[Node | str | None] = [top]
+    while stack:
+        item = stack.pop()
+        if item is None:
+            end()
+        elif isinstance(item, str):
+            run.append(item)
+        elif item.dropped and not (item.weak and _stays(item)):
+            continue
+        elif not (article or out) and item is not top and _menu(item):
+            continue
+        elif item.tag in ("br", "td", "th"):
+            run.append(" ")
+            stack.extend(reversed(item.items))
+        else:
+            if item.tag in BLOCKS:
                 end()
-            elif isinstance(item, str):
-                run.append(item)
-            elif item.dropped or (item is not top and item.tag in ("ul", "ol", "div", "section", "p", "table") and _link_list(item)):
-                continue
-            elif item.tag in ("br", "td", "th"):
-                run.append(" ")
-                stack.extend(reversed(item.items))
-            else:
-                if item.tag in BLOCKS:
-                    end()
-                    stack.append(None)
-                stack.extend(reversed(item.items))
+                stack.append(None)
+            stack.extend(reversed(item.items))
+    end()
+    return out
+
+
+def _beside(items: list[Node | str], threshold: float) -> list[str]:
+    """What belongs to the main text of the items before or after it."""
+    out: list[str] = []
+    run = Node("", None)
+
+    def end() -> None:
+        nonlocal run
+        for text in _blocks(run):
+            if _SENTENCE.search(text):
+                out.append(text)
+        run = Node("", None)
+
+    for item in items:
+        if isinstance(item, str) or (item.tag not in BLOCKS and not item.dropped):
+            run.items.append(item)
+            continue
         end()
+        if item.dropped or not item.chars or _link_list(item) or _menu(item):
+            continue
+        texts = _blocks(item)
+        dense = item.density >= threshold > 0 and item.chars >= LEAST_CHARS
+        if dense or any(map(_SENTENCE.search, texts)) or any(n.tag == "h1" for n in _ordered(item)):
+            out.extend(texts)
+    end()
     return out
 
 
@@ -365,21 +441,19 @@ def main_text(page: str) -> str:
             if up.tag == "article":
                 break
         up = up.parent
-    way, up = [best], best
-    while up is not body:
-        up = up.parent
-        way.append(up)
-    threshold = min(n.density for n in way)
-    kept = {best}
+    before: list[list[str]] = []
+    after: list[list[str]] = []
     if best.tag not in ("article", "main"):
-        for n in way[1:]:
-            kept.update(
-                c
-                for c in n.items
-                if isinstance(c, Node) and not c.dropped and c.chars and c.density >= threshold > 0
-                and c.tag in BLOCKS and not _link_list(c) and c not in way
-            )
-    return "\n".join(_blocks([n for n in nodes if n in kept]))
+        way, up = [best], best
+        while up is not body:
+            up = up.parent
+            way.append(up)
+        threshold = min(n.density for n in way)
+        for child, around in zip(way, way[1:], strict=False):
+            place = next(i for i, c in enumerate(around.items) if c is child)
+            before.insert(0, _beside(around.items[:place], threshold))
+            after.append(_beside(around.items[place + 1 :], threshold))
+    return "\n".join(t for part in (*before, _blocks(best), *after) for t in part)
 
 
 @F.pandas_udf(T.StringType())
