@@ -140,15 +140,24 @@ def risk_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH rows_ AS (SELECT doc_type, CAST(date_trunc('month', issued_ts) AS DATE) AS month, probability FROM predictions
   WHERE issued_ts IS NOT NULL),
-cells AS (SELECT doc_type, ['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Set','Oct','Nov','Dic'][month(month)]
-    || ' ' || lpad(CAST(year(month) % 100 AS VARCHAR), 2, '0') AS month_label, round(avg(probability), 10) AS p
-  FROM rows_ WHERE month IN (SELECT DISTINCT month FROM rows_ ORDER BY month DESC LIMIT 12) GROUP BY doc_type, month)
-SELECT * FROM (PIVOT cells ON month_label USING max(p) GROUP BY doc_type)""",
+placed AS (SELECT *, dense_rank() OVER (ORDER BY month) AS k FROM rows_
+  WHERE month IN (SELECT DISTINCT month FROM rows_ ORDER BY month DESC LIMIT 12)),
+cells AS (SELECT doc_type, k, round(avg(probability), 10) AS p FROM placed GROUP BY doc_type, k)
+SELECT doc_type, (SELECT ['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Set','Oct','Nov','Dic'][month(min(month))]
+  || ' ' || lpad(CAST(year(min(month)) % 100 AS VARCHAR), 2, '0') FROM placed) AS first_month,
+  """
+    + ", ".join(f"max(p) FILTER (WHERE k = {i}) AS m{i}" for i in range(1, 13))
+    + """
+FROM cells GROUP BY doc_type""",
     ("predictions",),
 )
 def risk_heatmap_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the months under names that do not depend on the data."""
     wide = dashboard.risk_heatmap_wide(fx.predictions(spark, sf_dir))
-    return wide.withColumns({c: F.round(F.col(f"`{c}`"), 10) for c in wide.columns if c != "doc_type"})
+    months = wide.columns[1:]
+    cells = [F.round(F.col(f"`{months[i]}`"), 10) if i < len(months) else F.lit(None).cast("double") for i in range(12)]
+    first = F.lit(months[0] if months else None).cast("string").alias("first_month")
+    return wide.select("doc_type", first, *[c.alias(f"m{i}") for i, c in enumerate(cells, 1)])
 
 
 @query(

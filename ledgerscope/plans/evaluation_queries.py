@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerscope import schema as S
 from ledgerscope.operators import correlate, enrich, evaluate, resample, split
 from ledgerscope.operators.ranks import exact_quantiles
 from ledgerscope.plans import fixtures as fx
@@ -364,6 +365,32 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- resampling
-@query("bootstrap_ci")
+def _poisson_sql(powers: int = 15) -> str:
+    tables = [resample.poisson_table(k) for k in range(powers)]
+    rows = ", ".join(f"({k}, {first}, [{', '.join(f'{p}::BIGINT' for p in places)}])" for k, (first, places) in enumerate(tables))
+    return f"(VALUES {rows}) AS t(k, first, places)"
+
+
+_BOOTSTRAP_SQL = f"""
+WITH g AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM scores GROUP BY score),
+c AS (SELECT score, 'pos' AS side, pos AS n FROM g UNION ALL SELECT score, 'neg', neg FROM g),
+draws AS (SELECT score, side, r, t.first + len(list_filter(places, lambda p: p <=
+    ('0x' || substr(md5(concat_ws(':', CAST(floor(score * 4503599627370496) AS BIGINT), r, {S.SEED}, side, t.k)), 1, 13))::BIGINT)) AS w
+  FROM c, range(1, {S.BOOTSTRAP_ROUNDS} + 1) AS rounds(r), {_poisson_sql()} WHERE (n >> t.k) & 1 = 1),
+drawn AS (SELECT score, r, coalesce(sum(w) FILTER (WHERE side = 'pos'), 0) AS pos, coalesce(sum(w) FILTER (WHERE side = 'neg'), 0) AS neg
+  FROM draws GROUP BY score, r),
+run AS (SELECT *, sum(pos) OVER o AS tp, sum(neg) OVER o AS fp FROM drawn WINDOW o AS (PARTITION BY r ORDER BY score DESC)),
+m AS (SELECT r, sum(pos) AS p, sum(neg) AS n, coalesce(sum(pos) FILTER (WHERE score >= 0.3), 0)::DOUBLE AS tp,
+  coalesce(sum(neg) FILTER (WHERE score >= 0.3), 0)::DOUBLE AS fp,
+  sum(CASE WHEN tp + fp > 0 THEN pos * tp::DOUBLE / (tp + fp) ELSE 0 END) / sum(pos) AS ap FROM run GROUP BY r),
+v AS (SELECT coalesce(tp / nullif(p, 0), 0) AS recall, coalesce(tp / nullif(tp + fp, 0), 0) AS precision,
+  coalesce(2 * tp / nullif(tp + fp + p, 0), 0) AS f1, ap AS pr_auc FROM m WHERE p > 0 AND n > 0),
+long AS (UNPIVOT v ON recall, precision, f1, pr_auc INTO NAME metric VALUE value)
+SELECT metric, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high, count(*) AS rounds
+FROM long GROUP BY metric"""
+
+
+@query("bootstrap_ci", _BOOTSTRAP_SQL, ("scores",))
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.bootstrap_ci(fx.scores(spark, sf_dir), 0.3)
+    bounds = resample.bootstrap_ci(fx.scores(spark, sf_dir), 0.3)
+    return bounds.withColumns({c: F.round(c, 9) for c in ("low", "high")})
