@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.operators.enrich import classify_upsert, prepare_upsert_source, upsert_stats
+from ledgerscope.operators.enrich import prepare_upsert_source
 from ledgerscope.operators.summary import clean_history, finish_summary, merge_partials, partial_summary
 from ledgerscope.sources.workspace import exists
+from ledgerscope.streaming.bucket_store import snapshot, upsert_buckets
 
 BATCH = "batch"
 
@@ -67,30 +68,12 @@ def merged_summary(spark: SparkSession, path: str) -> DataFrame:
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest complete version of the registry store, or ``None`` while it is empty."""
-    if not exists(spark, f"{path}/versions"):
-        return None
-    version = spark.read.parquet(f"{path}/versions").agg(F.max("version").alias("v")).first()["v"]
-    return None if version is None else spark.read.parquet(f"{path}/data/version={version}")
+    return snapshot(spark, path)
 
 
-def upsert_batch(spark: SparkSession, source: DataFrame, path: str, number: int, empty: DataFrame) -> DataFrame:
-    """Merge one batch into the store as a new version and return its statistics.
-
-    The version is announced only after its data is complete. Merging a batch again starts from the
-    version before it, so nothing is counted or changed twice.
-    """
-    target = empty
-    if exists(spark, f"{path}/versions"):
-        versions = spark.read.parquet(f"{path}/versions").where(F.col("version") < number)
-        before = versions.agg(F.max("version").alias("v")).first()["v"]
-        if before is not None:
-            target = spark.read.parquet(f"{path}/data/version={before}")
-    classified = classify_upsert(target, source)
-    classified.write.mode("overwrite").parquet(f"{path}/data/version={number}")
-    written = spark.read.parquet(f"{path}/data/version={number}")
-    stats = upsert_stats(written).withColumn("version", F.lit(number).cast("bigint"))
-    stats.write.mode("overwrite").parquet(f"{path}/versions/number={number}")
-    return spark.read.parquet(f"{path}/versions/number={number}")
+def upsert_batch(spark: SparkSession, source: DataFrame, path: str, number: int) -> DataFrame:
+    """Merge one batch into the store as a new version and return its statistics; only changed buckets are written anew."""
+    return upsert_buckets(spark, source, path, number)
 
 
 def run_upsert_stream(registry: DataFrame, path: str, order: str, flags: DataFrame | None = None) -> None:
@@ -98,7 +81,7 @@ def run_upsert_stream(registry: DataFrame, path: str, order: str, flags: DataFra
 
     def merge(batch: DataFrame, number: int) -> None:
         source = prepare_upsert_source(batch, flags, order)
-        upsert_batch(batch.sparkSession, source, path, number, source.limit(0))
+        upsert_batch(batch.sparkSession, source, path, number)
 
     stream = (
         registry.writeStream.foreachBatch(merge)

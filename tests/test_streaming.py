@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.operators import enrich, summary
 from ledgerscope.sources.workspace import materialize, workspace
-from ledgerscope.streaming import incremental
+from ledgerscope.streaming import bucket_store, incremental
 
 ROWS = [(str(i % 4), "Observada" if i % 3 else "Aceptada", float(i), None) for i in range(40)]
 SCHEMA = "raw_key string, state string, amount double, issued_ts timestamp"
@@ -46,13 +46,46 @@ def test_upsert_batches_can_be_repeated(spark):
     first = enrich.prepare_upsert_source(spark.createDataFrame(rows, schema), None, "row")
     second = first.withColumn("key_status", F.lit("ACTIVO"))
     assert incremental.latest_snapshot(spark, path) is None
-    assert incremental.upsert_batch(spark, first, path, 0, first.limit(0)).first() == (2, 2, 0, 0, 0)
+    assert incremental.upsert_batch(spark, first, path, 0).first() == (2, 2, 0, 0, 0)
     for _ in range(2):  # a retry of the same batch gives the same version and the same numbers
-        assert incremental.upsert_batch(spark, second, path, 1, first.limit(0)).first() == (2, 0, 1, 1, 1)
+        assert incremental.upsert_batch(spark, second, path, 1).first() == (2, 0, 1, 1, 1)
     assert incremental.upsert_history(spark, path).count() == 2
     assert incremental.latest_snapshot(spark, path).where("key_status = 'ACTIVO'").count() == 2
 
 
+def test_one_key_rewrites_one_bucket(spark):
+    path = workspace(spark, "store")
+    schema = "supplier_key string, legal_name string, key_status string, domicile string, location_code string, irregular string, queried_on string, source string, row int"
+    rows = [(str(i), f"Name {i}", "ACTIVO", "HABIDO", "1", "0", None, "s", 1) for i in range(200)]
+    every = enrich.prepare_upsert_source(spark.createDataFrame(rows, schema), None, "row")
+    assert incremental.upsert_batch(spark, every, path, 0).first() == (200, 200, 0, 0, 0)
+    before = incremental.latest_snapshot(spark, path)
+    one = every.where("legal_name = 'Name 7'").withColumn("key_status", F.lit("BAJA"))
+    assert incremental.upsert_batch(spark, one, path, 1).first() == (1, 0, 1, 0, 1)
+    assert len(bucket_store.rewritten_buckets(spark, path, 1)) == 1
+    assert len(bucket_store.rewritten_buckets(spark, path, 0)) > 30
+    # The same rows again, as the same batch or as a new one, change nothing.
+    assert incremental.upsert_batch(spark, one, path, 1).first() == (1, 0, 1, 0, 1)
+    assert incremental.upsert_batch(spark, one, path, 2).first() == (1, 0, 0, 1, 2)
+    assert bucket_store.rewritten_buckets(spark, path, 2) == []
+    assert incremental.upsert_batch(spark, one.limit(0), path, 3).first() == (0, 0, 0, 0, 3)
+    now = incremental.latest_snapshot(spark, path)
+    assert now.count() == 200 and now.where("key_status = 'BAJA'").count() == 1
+    assert now.exceptAll(before).count() == 1
+
+
+def test_broken_batch_is_not_seen(spark):
+    path = workspace(spark, "store")
+    schema = "supplier_key string, legal_name string, key_status string, domicile string, location_code string, irregular string, queried_on string, source string, row int"
+    one = enrich.prepare_upsert_source(spark.createDataFrame([("1", "One", "ACTIVO", "HABIDO", "1", "0", None, "s", 1)], schema), None, "row")
+    incremental.upsert_batch(spark, one, path, 0)
+    other = one.withColumn("legal_name", F.lit("Half"))
+    other.write.parquet(f"{path}/data/version=1/bucket=0")  # data without a manifest
+    assert incremental.latest_snapshot(spark, path).first()["legal_name"] == "One"
+    assert incremental.upsert_batch(spark, other, path, 1).first() == (1, 0, 1, 0, 1)
+    assert [r["legal_name"] for r in incremental.latest_snapshot(spark, path).collect()] == ["Half"]
+
+
 def test_materialize(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert workspace(spark, "t").startswith(f"{shared}/t-")
