@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import logging
 import random
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -26,7 +27,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope import schema as S
@@ -43,7 +44,7 @@ from ledgerscope.operators.evaluate import (
 from ledgerscope.operators.ranks import exact_quantiles_of
 from ledgerscope.operators.resample import bootstrap_ci, permuted_rows
 from ledgerscope.operators.split import expanding_folds
-from ledgerscope.sources.workspace import materialize
+from ledgerscope.sources.workspace import exists, materialize
 
 log = logging.getLogger(__name__)
 
@@ -452,14 +453,38 @@ _BUNDLE_SCHEMA = (
 )
 
 
-def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> None:
-    """Pipeline and a one-row table with all that scoring needs besides it."""
-    bundle.pipeline.write().overwrite().save(f"{path}/pipeline")
+_POINTER_SCHEMA = "version bigint, folder string"
+
+
+def _published(spark: SparkSession, path: str) -> Row | None:
+    """The newest version that was announced."""
+    if not exists(spark, f"{path}/published"):
+        return None
+    return spark.read.parquet(f"{path}/published").orderBy(F.desc("version"), F.desc("folder")).first()
+
+
+def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> int:
+    """Write the pipeline, and a one-row table with all that scoring needs besides it, as a new version; its number.
+
+    Both go to a folder of their own. The pointer to it is written last, so a reader finds the old version or the new one, never a
+    mixture, and a broken write is never found.
+    """
+    last = _published(spark, path)
+    version = 0 if last is None else last["version"] + 1
+    folder = f"versions/{version}-{uuid.uuid4().hex}"
+    bundle.pipeline.write().save(f"{path}/{folder}/pipeline")
     row = (list(bundle.features), bundle.threshold, *bundle.cuts, bundle.experiment, bundle.model)
-    spark.createDataFrame([row], _BUNDLE_SCHEMA).write.mode("overwrite").parquet(f"{path}/settings")
+    spark.createDataFrame([row], _BUNDLE_SCHEMA).write.parquet(f"{path}/{folder}/settings")
+    spark.createDataFrame([(version, folder)], _POINTER_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/published")
+    return version
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
+    """The newest complete version."""
+    last = _published(spark, path)
+    if last is None:
+        raise ValueError("model bundle: nothing published")
+    path = f"{path}/{last['folder']}"
     settings = spark.read.parquet(f"{path}/settings")
     S.require_columns(settings, ("features", "threshold", "low_medium", "medium_high"), "model bundle")
     row = settings.first()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +11,7 @@ from ledgerscope.operators import enrich, learn
 from ledgerscope.plans import fixtures as fx
 from ledgerscope.plans.cleaning_queries import summary_sql
 from ledgerscope.plans.registry import query
-from ledgerscope.sources import importing, invoices, links, registries
+from ledgerscope.sources import checked, importing, invoices, links, registries
 from ledgerscope.sources.workspace import workspace
 from ledgerscope.streaming import incremental
 
@@ -194,6 +194,46 @@ def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], schema)
 
 
+def _checks() -> dict[str, Column]:
+    return {
+        "supplier key": checked.invalid_key("Proveedor"),
+        "issue date": checked.missing_value("Fecha_Emision") | checked.unreadable_date("Fecha_Emision"),
+        "amount": checked.unreadable_amount("Importe_Total"),
+        "flag": checked.unreadable_int("Flag_Aceptada"),
+    }
+
+
+_BROKEN_SQL = """broken AS (SELECT row_no, list_filter([CASE WHEN supplier_key IS NULL THEN 'supplier key' END,
+  CASE WHEN issued_ts IS NULL THEN 'issue date' END, CASE WHEN row_no % 13 = 0 OR amount IS NULL THEN 'amount' END,
+  CASE WHEN row_no % 7 = 0 THEN 'flag' END], lambda r: r IS NOT NULL) AS reasons FROM invoices)"""
+
+
+@query(
+    "rejected_rows",
+    f"WITH {_BROKEN_SQL} SELECT row_no, array_to_string(reasons, ', ') AS reasons FROM broken WHERE len(reasons) > 0",
+    ("invoices",),
+)
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of an untidy export that a checked write refuses, with all reasons."""
+    found = checked.write_checked(_export_text(spark, sf_dir), _checks(), workspace(spark, "checked"))
+    return found.rejected.select("row_no", F.array_join("reasons", ", ").alias("reasons"))
+
+
+@query(
+    "rejected_counts",
+    f"""WITH {_BROKEN_SQL}, each_one AS (SELECT unnest(reasons) AS rule FROM broken)
+SELECT rule, count(*) AS n FROM each_one GROUP BY rule UNION ALL SELECT 'all rows', count(*) FROM broken
+UNION ALL SELECT 'rejected rows', count(*) FROM broken WHERE len(reasons) > 0""",
+    ("invoices",),
+)
+def rejected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a checked write."""
+    found = checked.write_checked(_export_text(spark, sf_dir), _checks(), workspace(spark, "checked"))
+    counts = [(rule, n) for rule, n in found.broken.items() if n]
+    counts += [("all rows", found.rows), ("rejected rows", found.rejected_rows)]
+    return spark.createDataFrame(counts, "rule string, n bigint")
+
+
 @query(
     "filled_categories",
     """SELECT row_no, coalesce(doc_type, 'NA') AS doc_type, coalesce(currency, 'NA') AS currency FROM invoices""",

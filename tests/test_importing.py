@@ -84,3 +84,19 @@ def test_export_is_typed_and_anonymous(spark):
     got = invoices.anonymize_history(df)
     assert got.columns == ["supplier_key", "issued_ts", "amount", "doc_type", "flag_accepted", "year", "Extra"]
     assert got.first() == ("20123456789", dt.datetime(2024, 12, 31), 10.5, "Factura", 1, 2024, "n")
+
+
+def test_checked_write_keeps_what_it_refuses(spark, tmp_path):
+    from ledgerscope.sources import checked
+
+    rows = [("20100000001", "01/02/2024", "1"), ("x", "31/31/2024", "one"), (None, None, None), ("20100000002", " ", "2.5")]
+    df = spark.createDataFrame([(*r, "old") for r in rows], "key string, day string, n string, reasons string")
+    rules = {"key": checked.invalid_key("key"), "day": checked.unreadable_date("day"), "n": checked.unreadable_int("n")}
+    found = checked.write_checked(df, rules, str(tmp_path / "a"))
+    assert (found.rows, found.rejected_rows, found.broken) == (4, 3, {"key": 2, "day": 1, "n": 2})
+    assert [tuple(r) for r in found.good.collect()] == [("20100000001", "01/02/2024", "1")]
+    assert {(r["key"], tuple(r["reasons"])) for r in found.rejected.collect()} == {
+        ("x", ("key", "day", "n")), (None, ("key",)), ("20100000002", ("n",)),
+    }
+    none = checked.write_checked(df.limit(0), rules, str(tmp_path / "b"))
+    assert (none.rows, none.rejected_rows, none.good.count(), none.rejected.count()) == (0, 0, 0, 0)

@@ -117,3 +117,22 @@ def test_calibration_evaluation_and_importance(parts):
 def test_features_exclude_outcomes():
     assert not set(S.FULL_FEATURES) & set(S.LEAKING_COLUMNS)
     assert len(S.BASE_FEATURES) == 20 and len(S.FULL_FEATURES) == 28
+
+
+def test_broken_write_is_not_found(spark, parts, tmp_path):
+    path = str(tmp_path / "bundle")
+    with pytest.raises(ValueError, match="nothing published"):
+        learn.load_bundle(spark, path)
+    model = learn.fit_candidate(few_models("dummy")[0], {}, parts["train"], S.BASE_FEATURES)
+    assert learn.save_bundle(spark, learn.Bundle(model, S.BASE_FEATURES, 0.25, (0.1, 0.2)), path) == 0
+
+    class Broken:
+        def write(self):
+            model.write().save(f"{path}/versions/half/pipeline")
+            raise OSError("no space left")
+
+    with pytest.raises(OSError):
+        learn.save_bundle(spark, learn.Bundle(Broken(), S.BASE_FEATURES, 0.75, (0.3, 0.4)), path)
+    assert learn.load_bundle(spark, path).threshold == 0.25
+    assert learn.save_bundle(spark, learn.Bundle(model, S.BASE_FEATURES, 0.5, (0.1, 0.2)), path) == 1
+    assert learn.load_bundle(spark, path).threshold == 0.5
