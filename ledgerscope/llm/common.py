@@ -62,3 +62,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns whose names an operator uses for its results."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+#: So many narrow rows are broadcast at most: some 64 MB.
+BROADCAST_ROWS = 500_000
+
+
+def drop_listed(docs: DataFrame, listed: DataFrame, same: Column) -> DataFrame:
+    """The rows of ``docs`` that no row of ``listed`` (a stored table of ids and hashes) is the ``same`` as.
+
+    A list of checked size is broadcast, so the texts stay where they are; beside a longer one they are shuffled once.
+    """
+    few = listed.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(listed) if few else listed, same, "left_anti")

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import hash128, stored, table, whole_text, without
+from ledgerscope.llm.common import drop_listed, hash128, stored, table, whole_text, without
 
 KEYS = ["_xd_h1", "_xd_h2", "_xd_sha"]
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
@@ -66,6 +66,16 @@ def exact_dedup(
     ).drop(*KEYS, "_xd_keep", "_xd_size")
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """The rows that stay, all columns. What goes is listed by id and hash, so the texts are not shuffled for it."""
+    a, b = hash128(whole_text(text_col))
+    narrow = docs.select(F.col(id_col).alias("_xd_id"), F.col(text_col).alias("_xd_text"), a.alias("_xd_a"), b.alias("_xd_b"))
+    gone = exact_dedup(narrow, "_xd_id", "_xd_text", keep).where(~F.col("kept")).select("_xd_id", "_xd_a", "_xd_b").distinct()
+    gone = stored(gone, "copies-gone")
+    same = docs[id_col].eqNullSafe(gone["_xd_id"]) & (a == gone["_xd_a"]) & (b == gone["_xd_b"])
+    return drop_listed(docs, gone, same)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", *RESULTS)

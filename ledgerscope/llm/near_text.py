@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerscope.llm.common import stored, whole_text
+from ledgerscope.llm.common import drop_listed, stored, whole_text
 from ledgerscope.llm.components import components
 from ledgerscope.llm.simhash import near_pairs
 
@@ -282,5 +282,5 @@ def near_text_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of the smallest id of each component, all columns."""
     labels = near_text_labels(docs, id_col, text_col).toDF("_nt_id", "_nt_component")
     gone = labels.where(~F.col("_nt_id").eqNullSafe(F.col("_nt_component"))).select(F.col("_nt_id").alias("_nt_gone"))
-    gone = stored(gone.distinct(), "near-gone")  # narrow, and of known size: broadcast only if small
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_nt_gone"]), "left_anti")
+    gone = stored(gone.distinct(), "near-gone")
+    return drop_listed(docs, gone, docs[id_col].eqNullSafe(gone["_nt_gone"]))

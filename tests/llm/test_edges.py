@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerscope.llm.bpe import encode, encode_decode
-from ledgerscope.llm.exact_dedup import exact_dedup
+from ledgerscope.llm.exact_dedup import drop_copies, exact_dedup
 from ledgerscope.llm.html_extract import extract_main_text
 from ledgerscope.llm.line_dedup import line_dedup
 from ledgerscope.llm.mixing import mix, mixed_documents
@@ -71,6 +71,14 @@ def test_exact_dedup_with_colliding_hashes(messy):
     assert hashlib.sha256(b"").hexdigest() in digests
 
 
+def test_drop_copies(messy, nothing):
+    stay = drop_copies(messy)
+    assert stay.columns == messy.columns and drop_copies(nothing).count() == 0
+    key = lambda r: (str(r["doc_id"]), str(r["text"]))
+    want = exact_dedup(messy.withColumnRenamed("kept", "old_kept")).where("kept")
+    assert sorted(map(key, stay.collect())) == sorted(map(key, want.collect()))
+
+
 def test_exact_dedup_smallest(messy):
     found = {(r["doc_id"], r["keep_id"]) for r in exact_dedup(messy, keep="smallest").collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 3)} <= found
