@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.llm.bpe import encode
 from ledgerscope.llm.common import stored, table
-from ledgerscope.llm.exact_dedup import exact_dedup
+from ledgerscope.llm.exact_dedup import drop_copies
 from ledgerscope.llm.mixing import mixed_documents
 from ledgerscope.llm.near_text import near_text_dedup
 from ledgerscope.llm.quality import quality
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, keep the document with the largest id."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    return drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
