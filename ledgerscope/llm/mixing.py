@@ -99,8 +99,8 @@ def leaf_budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     sources = leaves.select(*LEVELS, "tokens", supply.alias("supply"), _weight(F.col(o), plan.origin).alias("weight"))
     languages = sources.groupBy(d, l).agg(F.sum("supply").alias("supply"), F.sum("tokens").alias("tokens"))
     domains = languages.groupBy(d).agg(F.sum("supply").alias("supply"), F.sum("tokens").alias("tokens"))
-    total = F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * plan.budget_percent / 100)
-    top = domains.withColumns({"weight": _weight(F.col(d), plan.domain), "parent_budget": total})
+    top = domains.withColumns({"weight": _weight(F.col(d), plan.domain), "_all": F.sum("tokens").over(Window.partitionBy(F.lit(0)))})
+    top = top.withColumn("parent_budget", F.expr(f"cast(_all AS decimal(38,0)) * {int(plan.budget_percent)} div 100")).drop("_all")
     top = fill(top.withColumn("root", F.lit(0)), ["root"], d).select(d, F.col("budget").alias("parent_budget"))
     middle = languages.withColumn("weight", _weight(F.col(l), plan.language)).join(top, d)
     middle = fill(middle, [d], l).select(d, l, F.col("budget").alias("parent_budget"))
@@ -134,7 +134,11 @@ def mix(
         .withColumn("_at", uniform52(F.lit(plan.seed), F.col(id_col))),
         "mix-units",
     )
-    slices = max(1, -(-units.count() // rows_per_slice))
+    rows = F.col("count")
+    largest, total = units.groupBy(*LEVELS).count().agg(F.coalesce(F.max(rows), F.lit(0)), F.coalesce(F.sum(rows), F.lit(0))).first()
+    # The largest leaf is cut so that no slice is more than a task's fair share, nor than a task should sort.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, -(-largest // max(1, min(rows_per_slice, -(-total // tasks)))))
     cut = units.withColumn("_slice", F.floor(F.col("_at") / F.lit(float(1 << 52)) * slices))
     parts = cut.groupBy(*LEVELS, "_slice").agg(F.sum("n_tokens").alias("_sum"))
     budgets = leaf_budgets(units.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), plan)
