@@ -132,6 +132,49 @@ def enrich_invoices(
     ).drop("_found")
 
 
+def merged_dimension(registry: DataFrame, flags: DataFrame | None) -> DataFrame:
+    """Registry and flags as one table, one row per supplier of either; ``_found`` marks those of the registry."""
+    dim = registry.where(F.col("supplier_key").isNotNull()).withColumn("_found", F.lit(1))
+    if flags is None:
+        return dim.withColumns({f: F.lit(0) for f in S.LIST_FLAGS})
+    known = flags.where(F.col("supplier_key").isNotNull())
+    known = known.select("supplier_key", *[F.col(f).cast("int").alias(f) for f in S.LIST_FLAGS])
+    return dim.drop(*S.LIST_FLAGS).join(known, "supplier_key", "full")
+
+
+def fill_dimension(joined: DataFrame) -> DataFrame:
+    """The agreed values for invoices whose supplier is not in the registry or in no list."""
+    return joined.withColumns(
+        {
+            "registry_found": F.coalesce("_found", F.lit(0)),
+            "irregular": F.coalesce(F.col("irregular").cast("int"), F.lit(-1)),
+            "key_status": F.coalesce("key_status", F.lit(S.NOT_FOUND)),
+            "domicile": F.coalesce("domicile", F.lit(S.NOT_FOUND)),
+            **{f: F.coalesce(f, F.lit(0)) for f in S.LIST_FLAGS},
+        }
+    ).drop("_found")
+
+
+def enrich_with_flags(
+    invoices: DataFrame,
+    registry: DataFrame,
+    flags: DataFrame | None,
+    *,
+    check_unique: bool = True,
+    small: bool | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
+    **options: int,
+) -> DataFrame:
+    """Registry fields and membership flags in one join: the dimensions meet first, and the invoices move once at most."""
+    if check_unique:
+        assert_unique(registry, "supplier_key")
+    dim = merged_dimension(registry, flags)
+    joined = join_many_to_one(invoices, dim, "supplier_key", small=small, broadcast_rows=broadcast_rows, **options)
+    last = ["registry_found", *S.LIST_FLAGS]
+    filled = fill_dimension(joined)
+    return filled.select(*[c for c in filled.columns if c not in last], *last)
+
+
 def enrichment_stats(enriched: DataFrame) -> DataFrame:
     """Rows and suppliers with and without a registry entry."""
     found = F.col("registry_found") == 1

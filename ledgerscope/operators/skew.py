@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 MAX_HOT_KEYS = 10_000
 HOT_KEY_ROWS = 1_000_000
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -40,9 +41,20 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS, limit: int =
     return HotKeys({row[key]: row["n"] for row in top})
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether a table is small enough; ``rows`` of zero answers without a job."""
-    return rows > 0 and df.count() <= rows
+def has_at_most(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is small enough, in rows and in bytes; ``rows`` of zero answers without a job.
+
+    Bytes are the true lengths of texts, and 16 for any other value.
+    """
+    if rows <= 0:
+        return False
+    texts = [F.coalesce(F.sum(F.octet_length(f"`{c}`").cast("bigint")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    fixed = 16 * len(df.columns)
+    total = F.count(F.lit(1)) * fixed
+    for t in texts:
+        total = total + t
+    found = df.agg(F.count(F.lit(1)).alias("n"), total.alias("size")).first()
+    return found["n"] <= rows and found["size"] <= size
 
 
 def null_safe_key(key: Column) -> Column:

@@ -9,6 +9,7 @@ from ledgerscope import schema as S
 from ledgerscope.operators import enrich, history
 from ledgerscope.plans import fixtures as fx
 from ledgerscope.plans.registry import query
+from ledgerscope.sources import bucketed
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,25 +123,31 @@ def enriched_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "enriched_invoices_large_dimension",
-    "SELECT row_no, supplier_key, registry_found, irregular, key_status, domicile FROM enriched",
-    ("enriched",),
+_BOTH_SQL = (
+    "SELECT row_no, supplier_key, registry_found, irregular, key_status, domicile, " + ", ".join(S.LIST_FLAGS) + " FROM enriched"
 )
-def enriched_invoices_large_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join for a registry that is too large to broadcast, with hot suppliers set apart."""
-    from ledgerscope.operators.skew import join_many_to_one
+_BOTH = ("row_no", "supplier_key", "registry_found", "irregular", "key_status", "domicile", *S.LIST_FLAGS)
 
-    dim = fx.registry(spark, sf_dir).withColumn("registry_found", F.lit(1))
-    joined = join_many_to_one(fx.invoices(spark, sf_dir), dim, "supplier_key", broadcast_rows=0, hot_rows=15)
-    return joined.select(
-        "row_no",
-        "supplier_key",
-        F.coalesce("registry_found", F.lit(0)).alias("registry_found"),
-        F.coalesce("irregular", F.lit(-1)).alias("irregular"),
-        F.coalesce("key_status", F.lit(S.NOT_FOUND)).alias("key_status"),
-        F.coalesce("domicile", F.lit(S.NOT_FOUND)).alias("domicile"),
+
+@query("enriched_invoices_bucketed", _BOTH_SQL, ("enriched",))
+def enriched_invoices_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry and flags joined to invoices that lie in the same buckets: no shuffle of either."""
+    facts = bucketed.bucketed_facts(fx.invoices(spark, sf_dir), "invoices", "supplier_key", "row_no")
+    keys = fx.supplier_keys(spark, sf_dir)[0]
+    dim = enrich.merged_dimension(fx.registry(spark, sf_dir), enrich.build_flags(keys, fx.lists(spark, sf_dir)))
+    joined = bucketed.bucketed_join(facts, bucketed.bucketed_dimension(dim, "dimension", "supplier_key"), "supplier_key")
+    return enrich.fill_dimension(joined).select(*_BOTH)
+
+
+@query("enriched_invoices_large_dimension", _BOTH_SQL, ("enriched",))
+def enriched_invoices_large_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry and flags, too large to broadcast, in one join with hot suppliers set apart."""
+    keys = fx.supplier_keys(spark, sf_dir)[0]
+    flags = enrich.build_flags(keys, fx.lists(spark, sf_dir))
+    joined = enrich.enrich_with_flags(
+        fx.invoices(spark, sf_dir), fx.registry(spark, sf_dir), flags, check_unique=False, broadcast_rows=0, hot_rows=15
     )
+    return joined.select(*_BOTH)
 
 
 @query(

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from ledgerscope import schema as S
 from ledgerscope.functions.risk import prediction_code, prediction_label, reasons_text, risk_reasons, risk_tier
 from ledgerscope.operators.enrich import (
-    add_membership_flags,
     definitive,
     derive_columns,
-    enrich_invoices,
+    enrich_with_flags,
     pending,
 )
 from ledgerscope.operators.evaluate import experiment_delta, reliability
@@ -54,8 +53,7 @@ def prepare(
     one large shuffle does not carry the names and addresses of the registry.
     """
     featured = supplier_history(derive_columns(invoices), HistoryColumns(tie_break=tie_break), fill=fill)
-    joined = enrich_invoices(featured, registry, small=small, check_unique=check_unique)
-    return add_membership_flags(joined, flags, small=small)
+    return enrich_with_flags(featured, registry, flags, small=small, check_unique=check_unique)
 
 
 def risk_cuts(scored: DataFrame, score: str = "probability") -> tuple[float, float]:

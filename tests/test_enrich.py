@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerscope import schema as S
-from ledgerscope.operators import enrich, profile, summary
-from ledgerscope.sources import invoices, registries
+from ledgerscope.operators import enrich, profile, skew, summary
+from ledgerscope.sources import bucketed, invoices, registries
 
 
 def test_enrichment_keeps_rows_and_fills(spark):
@@ -160,3 +160,48 @@ def test_summary_of_suppliers_without_outcome(spark):
     halves = [summary.partial_summary(summary.clean_history(df.where(c))) for c in ("amount > 3", "amount <= 3 OR amount IS NULL")]
     merged = summary.finish_summary(summary.merge_partials(halves[0].unionByName(halves[1])))
     assert sorted(merged.collect(), key=str) == sorted(table, key=str)
+
+
+def _both(spark):
+    history = spark.createDataFrame(
+        [(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(300)], "row_no long, supplier_key string"
+    )
+    registry = spark.createDataFrame(
+        [("hot", "ACTIVO", "HABIDO", 0), ("k0", "BAJA", "HABIDO", 1), (None, "X", "X", 1)],
+        "supplier_key string, key_status string, domicile string, irregular int",
+    )
+    flags = spark.createDataFrame(
+        [("hot", 1, 0, 0, 1), ("k6", 0, 1, 0, 0)], ["supplier_key", *S.LIST_FLAGS]
+    )
+    return history, registry, flags
+
+
+def test_one_join_for_both_dimensions(spark):
+    history, registry, flags = _both(spark)
+    want = enrich.add_membership_flags(enrich.enrich_invoices(history, registry), flags)
+    for options in ({}, {"broadcast_rows": 0, "hot_rows": 50}):
+        got = enrich.enrich_with_flags(history, registry, flags, **options)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    without = enrich.enrich_with_flags(history, registry, None)
+    assert without.where("is_withholding = 0").count() == 300
+
+
+def test_bucketed_join_moves_no_row(spark):
+    history, registry, flags = _both(spark)
+    facts = bucketed.bucketed_facts(history, "facts", "supplier_key", "row_no", buckets=8, parts=4)
+    dim = bucketed.bucketed_dimension(enrich.merged_dimension(registry, flags), "dim", "supplier_key", buckets=8, parts=4)
+    joined = bucketed.bucketed_join(facts, dim, "supplier_key")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    want = enrich.add_membership_flags(enrich.enrich_invoices(history, registry), flags)
+    got = enrich.fill_dimension(joined).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    per_bucket = facts.groupBy("_part").count().collect()
+    assert len(per_bucket) == 4 and max(r["count"] for r in per_bucket) < 150
+
+
+def test_broadcasts_are_sized_by_bytes(spark):
+    wide = spark.range(100).withColumn("text", F.repeat(F.lit("x"), 1_000_000))
+    assert skew.has_at_most(wide.select("id"), 1000) and not skew.has_at_most(wide, 1000)
+    assert not skew.has_at_most(wide.select("id"), 99) and not skew.has_at_most(wide.select("id"), 0)
