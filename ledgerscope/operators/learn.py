@@ -203,7 +203,7 @@ def sample_settings(grid: Mapping[str, Sequence[Any]], limit: int = MAX_SETTINGS
     return every if len(every) <= limit else random.Random(seed).sample(every, limit)
 
 
-def _fit_estimator(candidate: Candidate, setting: Mapping[str, Any], prepared: DataFrame, label: str) -> Transformer:
+def fit_estimator(candidate: Candidate, setting: Mapping[str, Any], prepared: DataFrame, label: str) -> Transformer:
     if candidate.build is None:
         row = prepared.agg(F.count_if(F.col(label) == 1).alias("p"), F.count(F.lit(1)).alias("n")).first()
         constant = 1.0 if 2 * row["p"] > row["n"] else 0.0
@@ -223,7 +223,7 @@ def fit_candidate(
     preprocessor = fit_preprocessor(train, features, scale=candidate.scale)
     prepared = preprocessor.transform(with_class_weight(train, label)).select(label, WEIGHT, FEATURES).persist()
     try:
-        estimator = _fit_estimator(candidate, setting, prepared, label)
+        estimator = fit_estimator(candidate, setting, prepared, label)
     finally:
         prepared.unpersist()
     return PipelineModel([*preprocessor.stages, estimator])
@@ -270,7 +270,7 @@ def time_series_search(
         prepared = preprocessor.transform(with_class_weight(earlier, label)).select(label, WEIGHT, FEATURES).persist()
         judged = preprocessor.transform(folded.where(F.col("fold") == k)).select(label, FEATURES)
         for i, setting in enumerate(settings):
-            estimator = _fit_estimator(candidate, setting, prepared, label)
+            estimator = fit_estimator(candidate, setting, prepared, label)
             part = score_rows(PipelineModel([estimator]), judged).select(label, SCORE)
             part = part.withColumns({"setting": F.lit(i), "fold": F.lit(k)})
             scored = part if scored is None else scored.unionByName(part)

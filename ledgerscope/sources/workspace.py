@@ -14,12 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder of the cluster, which the session must name."""
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that all runs share, under the shared folder of the cluster, which the session must name."""
     base = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         raise RuntimeError(f"{CHECKPOINT_SETTING} is not set")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}"
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A folder name that was not used before."""
+    return f"{shared_folder(spark, name)}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

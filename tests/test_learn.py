@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerscope import schema as S
-from ledgerscope.operators import learn
+from ledgerscope.operators import learn, trials
 from ledgerscope.operators.split import temporal_split
 from ledgerscope.plans import pipeline
 
@@ -136,3 +136,30 @@ def test_broken_write_is_not_found(spark, parts, tmp_path):
     assert learn.load_bundle(spark, path).threshold == 0.25
     assert learn.save_bundle(spark, learn.Bundle(model, S.BASE_FEATURES, 0.5, (0.1, 0.2)), path) == 1
     assert learn.load_bundle(spark, path).threshold == 0.5
+
+
+def test_trials_go_on_where_they_stopped(spark, parts, tmp_path):
+    path, made = str(tmp_path / "trials"), []
+    logistic = learn.Candidate("logistic", few_models("logistic")[0].build, {"C": (0.1, 1.0)}, scale=True)
+    experiments = {"base": S.BASE_FEATURES, "extended": S.FULL_FEATURES}
+
+    def breaks(*fit):
+        made.append(fit)
+        if len(made) == 4:
+            raise OSError("executor lost for good")
+
+    with pytest.raises(OSError):
+        trials.run_trials(parts["train"], experiments, [logistic], path, at_once=1, fitted=breaks)
+    kept = trials.finished_trials(spark, path).count()
+    assert 3 <= kept < 12
+    again = []
+    found = trials.run_trials(parts["train"], experiments, [logistic], path, fitted=lambda *fit: again.append(fit))
+    assert found.count() == 12 and len(again) == 12 - kept and len(set(again)) == len(again)
+    none = []
+    table = trials.search_table(trials.run_trials(parts["train"], experiments, [logistic], path, fitted=lambda *fit: none.append(fit)))
+    assert none == [] and [r["folds"] for r in table.collect()] == [3] * 4
+    plain = learn.time_series_search(logistic, parts["train"], S.BASE_FEATURES).collect()
+    base = {r["setting"]: r["mean_pr_auc"] for r in table.where("experiment = 'base'").collect()}
+    assert {r["setting"]: pytest.approx(r["mean_pr_auc"], abs=1e-6) for r in plain} == base
+    fewer = trials.run_trials(parts["train"].where("row_no > 5"), {"base": S.BASE_FEATURES}, [logistic], path, fitted=lambda *fit: none.append(fit))
+    assert len(none) == 6 and fewer.count() == 6
