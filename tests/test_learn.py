@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ledgerscope import schema as S
 from ledgerscope.operators import learn, trials
+from ledgerscope.operators.evaluate import ranking_report
+from ledgerscope.operators.resample import permuted_rows
 from ledgerscope.operators.split import temporal_split
 from ledgerscope.plans import pipeline
 
@@ -112,6 +114,12 @@ def test_calibration_evaluation_and_importance(parts):
     assert final["f1"]["low"] <= final["f1"]["high"] and final["roc_auc"]["low"] is None
     importance = learn.permutation_importance(model, parts["test"], S.FULL_FEATURES, repeats=2)
     assert importance.count() == len(S.FULL_FEATURES)
+    # The same as when every copy is prepared anew.
+    copies = permuted_rows(parts["test"].select("label", "row_no", *S.FULL_FEATURES), S.FULL_FEATURES, repeats=2)
+    report = ranking_report(learn.score_rows(model, copies), within=["feature", "repeat"])
+    base = ranking_report(learn.score_rows(model, parts["test"])).first()["pr_auc"]
+    plain = {r["feature"]: base - r["m"] for r in report.groupBy("feature").agg(F.avg("pr_auc").alias("m")).collect()}
+    assert {r["feature"]: pytest.approx(r["importance"], abs=1e-9) for r in importance.collect()} == plain
 
 
 def test_features_exclude_outcomes():
