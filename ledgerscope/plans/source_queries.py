@@ -13,7 +13,7 @@ from ledgerscope.plans.cleaning_queries import summary_sql
 from ledgerscope.plans.registry import query
 from ledgerscope.sources import checked, importing, invoices, links, registries
 from ledgerscope.sources.workspace import workspace
-from ledgerscope.streaming import incremental
+from ledgerscope.streaming import incremental, quantiles
 
 
 # --------------------------------------------------------------------------- exports and imports
@@ -372,3 +372,34 @@ def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1_000_000).parquet(files)
         incremental.run_upsert_stream(stream.withColumn("irregular", F.lit("0")), path, "line_no")
     return incremental.upsert_history(spark, path)
+
+
+@query(
+    "incremental_quantiles",
+    "SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]::DOUBLE[]) AS share, (SELECT count(amount) FROM invoices) AS rows, true AS close_enough",
+    ("invoices",),
+)
+def incremental_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the amounts from the sketches of three batches of a stream, held against the true ranks of all rows."""
+    shares = (0.05, 0.25, 0.5, 0.75, 0.95)
+    rows = fx.invoices(spark, sf_dir).select("row_no", F.col("amount").cast("double").alias("amount"))
+    files, path = workspace(spark, "amounts"), workspace(spark, "sketches")
+    for part in range(3):
+        rows.where(F.pmod("row_no", F.lit(3)) == part).write.mode("append").parquet(files)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1_000_000).parquet(files)
+        quantiles.run_quantile_stream(stream, path, ["amount"])
+    merged = quantiles.merged_sketches(spark, path)
+    found = {r["share"]: r["value"] for r in quantiles.sketch_quantiles(merged, shares).collect()}  # one row per share
+    amount, n = F.col("amount"), F.count("amount")
+    entries = [
+        F.struct(
+            F.lit(q).alias("share"),
+            n.alias("rows"),
+            # Equal amounts share a span of ranks; the sketch may name any of them.
+            (
+                (F.count_if(amount < v) <= (q + quantiles.RANK_ERROR) * n) & (F.count_if(amount <= v) >= (q - quantiles.RANK_ERROR) * n)
+            ).alias("close_enough"),
+        )
+        for q, v in found.items()
+    ]
+    return rows.agg(F.array(*entries).alias("e")).select(F.inline("e"))

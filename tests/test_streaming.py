@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.operators import enrich, summary
 from ledgerscope.sources.workspace import materialize, workspace
-from ledgerscope.streaming import bucket_store, incremental
+from ledgerscope.streaming import bucket_store, incremental, quantiles
 
 ROWS = [(str(i % 4), "Observada" if i % 3 else "Aceptada", float(i), None) for i in range(40)]
 SCHEMA = "raw_key string, state string, amount double, issued_ts timestamp"
@@ -86,6 +86,20 @@ def test_broken_batch_is_not_seen(spark):
     assert [r["legal_name"] for r in incremental.latest_snapshot(spark, path).collect()] == ["Half"]
 
 
+def test_merged_sketches_rank_values_as_one_pass_does(spark):
+    df = spark.range(20_000).select((F.xxhash64("id") % 100_000).cast("double").alias("x"), F.lit(None).cast("double").alias("none"))
+    parts = [df.where(F.pmod(F.col("x"), F.lit(5)) == k) for k in range(-4, 5)]
+    sketches = quantiles.quantile_sketches(parts[0], ["x", "none"])
+    for part in parts[1:]:
+        sketches = sketches.unionByName(quantiles.quantile_sketches(part, ["x", "none"]))
+    merged, whole = quantiles.merge_sketches(sketches), quantiles.quantile_sketches(df, ["x", "none"])
+    for found in (merged, whole):
+        assert [(r["column"], r["rows"]) for r in found.collect()] == [("x", 20_000)]
+        for r in quantiles.sketch_quantiles(found, (0.1, 0.5, 0.9)).collect():
+            rank = df.where(F.col("x") <= r["value"]).count() / 20_000
+            assert abs(rank - r["share"]) <= quantiles.RANK_ERROR
+
+
 def test_materialize(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert workspace(spark, "t").startswith(f"{shared}/t-")
