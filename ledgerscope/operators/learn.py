@@ -316,7 +316,6 @@ def train_experiments(
     cannot be built or is refused is left out, and noted as (experiment, model, reason) in ``left_out``; any other error ends the job.
     """
     trained: list[Trained] = []
-    scored = None
     left_out = [] if left_out is None else left_out
     for experiment, features in experiments.items():
         for candidate in models:
@@ -331,12 +330,19 @@ def train_experiments(
                 left_out.append((experiment, candidate.name, str(refused)))
                 continue
             trained.append(Trained(experiment, candidate.name, pipeline, tuple(features), setting))
-            part = score_rows(pipeline, validation).select(label, SCORE)
-            part = part.withColumns({"experiment": F.lit(experiment), "model": F.lit(candidate.name)})
-            scored = part if scored is None else scored.unionByName(part)
+    return trained, compare_trained(trained, validation, label=label)
+
+
+def compare_trained(trained: Sequence[Trained], validation: DataFrame, *, label: str = "label") -> DataFrame:
+    """All models judged on the validation rows; each scores each row once."""
+    scored = None
+    for t in trained:
+        part = score_rows(t.pipeline, validation).select(label, SCORE)
+        part = part.withColumns({"experiment": F.lit(t.experiment), "model": F.lit(t.model)})
+        scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         raise RuntimeError("no candidate model could be trained")
-    return trained, model_table(materialize(scored, "comparison-scores"), label=label)
+    return model_table(materialize(scored, "comparison-scores"), label=label)
 
 
 def pick_best(trained: Sequence[Trained], models: DataFrame) -> tuple[Trained, float]:

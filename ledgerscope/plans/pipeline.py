@@ -24,6 +24,7 @@ from ledgerscope.operators.learn import (
     calibrate,
     candidates,
     choose_threshold,
+    compare_trained,
     final_evaluate,
     permutation_importance,
     pick_best,
@@ -32,6 +33,7 @@ from ledgerscope.operators.learn import (
 )
 from ledgerscope.operators.ranks import exact_quantiles
 from ledgerscope.operators.split import temporal_split
+from ledgerscope.operators.trials import stored_models
 from ledgerscope.sources.workspace import materialize
 
 DEFAULT_CUTS = (0.30, 0.60)
@@ -142,8 +144,12 @@ def train(
     search: bool = True,
     max_settings: int = 8,
     repeats: int = 5,
+    store: str | None = None,
 ) -> Training:
-    """Compare models in time order, calibrate the best, judge it on the test rows, and score the pending invoices."""
+    """Compare models in time order, calibrate the best, judge it on the test rows, and score the pending invoices.
+
+    With a ``store`` and without a search, models are kept in that folder, and read from it by later runs on the same rows.
+    """
     # Read by every fit of the comparison: written once, so that a lost executor does not bring the
     # whole preparation back.
     prepared = materialize(prepared, "prepared")
@@ -151,9 +157,13 @@ def train(
     fit_rows, validation, test = (labelled.where(F.col("split") == s) for s in ("train", "validation", "test"))
     experiments = experiments or {"base": S.BASE_FEATURES, "extended": S.FULL_FEATURES}
     left_out: list[tuple[str, str, str]] = []
-    trained, comparison = train_experiments(
-        fit_rows, validation, experiments, models or candidates(), search=search, max_settings=max_settings, left_out=left_out
-    )
+    if store is not None and not search:
+        trained = stored_models(fit_rows, experiments, models or candidates(), store, left_out=left_out)
+        comparison = compare_trained(trained, validation)
+    else:
+        trained, comparison = train_experiments(
+            fit_rows, validation, experiments, models or candidates(), search=search, max_settings=max_settings, left_out=left_out
+        )
     best, threshold = pick_best(trained, comparison)
     pipeline, calibration = calibrate(best.pipeline, validation)
     if calibration.where("selected AND method <> 'original'").count():

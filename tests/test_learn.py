@@ -171,3 +171,38 @@ def test_trials_go_on_where_they_stopped(spark, parts, tmp_path):
     assert {r["setting"]: pytest.approx(r["mean_pr_auc"], abs=1e-6) for r in plain} == base
     fewer = trials.run_trials(parts["train"].where("row_no > 5"), {"base": S.BASE_FEATURES}, [logistic], path, fitted=lambda *fit: none.append(fit))
     assert len(none) == 6 and fewer.count() == 6
+
+
+def test_stored_models_are_fitted_once(spark, parts, tmp_path):
+    path, made, left_out = str(tmp_path / "models"), [], []
+    experiments = {"base": S.BASE_FEATURES, "extended": S.FULL_FEATURES}
+
+    def refuse(setting, rows):
+        raise ValueError("no such setting")
+
+    models = [*few_models("dummy", "logistic"), learn.Candidate("odd", refuse)]
+
+    def breaks(*fit):
+        made.append(fit)
+        if len(made) == 3:
+            raise OSError("executor lost for good")
+
+    with pytest.raises(OSError):
+        trials.stored_models(parts["train"], experiments, models, path, at_once=1, fitted=breaks)
+    again = []
+    trained = trials.stored_models(
+        parts["train"], experiments, models, path, left_out=left_out, at_once=1, fitted=lambda *fit: again.append(fit)
+    )
+    assert not {("base", "dummy"), ("base", "logistic")} & set(again) and ("base", "odd") in again
+    assert [e[:2] for e in left_out] == [("base", "odd"), ("extended", "odd")]
+    none, rows = [], parts["train"].orderBy("row_no").repartition(3)
+    read = trials.stored_models(rows, experiments, models[:2], path, fitted=lambda *fit: none.append(fit))
+    assert none == [] and [(t.experiment, t.model) for t in read] == [(t.experiment, t.model) for t in trained]
+    for before, after in zip(trained, read, strict=True):
+        scores = [
+            {r["row_no"]: r["score"] for r in learn.score_rows(t.pipeline, parts["validation"]).collect()} for t in (before, after)
+        ]
+        assert scores[0] == scores[1]
+    assert learn.compare_trained(read, parts["validation"]).count() == 4
+    trials.stored_models(parts["train"].where("row_no > 5"), {"base": S.BASE_FEATURES}, models[:1], path, fitted=lambda *fit: none.append(fit))
+    assert none == [("base", "dummy")]
