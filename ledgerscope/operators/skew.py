@@ -16,6 +16,10 @@ MAX_HOT_KEYS = 10_000
 HOT_KEY_ROWS = 1_000_000
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+MAP_BITS = 32_768  # of one bit map: what ``bitmap_construct_agg`` makes
+MAP_BYTES = 64 << 20
+BITS_PER_KEY, MIN_BITS_PER_KEY = 16, 2
+HASHED_KINDS = ("string", "byte", "short", "integer", "long")
 
 
 @dataclass(frozen=True)
@@ -101,6 +105,47 @@ def join_many_to_one(
     return result
 
 
+# --------------------------------------------------------------------------- bit map of a key list
+def _bit_of(key: Column, bits: int) -> tuple[Column, Column]:
+    """The bit map of a key, and its bit there."""
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    return F.floor(at / MAP_BITS), at % MAP_BITS
+
+
+def key_bit_maps(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """A bit per hashed key, as rows of 4,096 bytes: ``_km_map`` and ``_km_bits``. Null keys have no bit.
+
+    Keys are shuffled to their bit map before it is built, so that no partial map crosses the network.
+    """
+    number, bit = _bit_of(F.col(key), bits)
+    placed = keys.where(F.col(key).isNotNull()).select(number.alias("_km_map"), bit.alias("_km_bit"))
+    return placed.repartition("_km_map").groupBy("_km_map").agg(F.bitmap_construct_agg("_km_bit").alias("_km_bits"))
+
+
+def maybe_listed(rows: DataFrame, keys: DataFrame, key: str, *, max_bytes: int = MAP_BYTES) -> DataFrame:
+    """The rows whose key may be listed: all that are, and of the others about one in ``BITS_PER_KEY``.
+
+    The bit maps have ``BITS_PER_KEY`` bits per key and at most ``max_bytes``, and are broadcast, so rows are dropped in the stage that
+    reads them. Where that leaves less than ``MIN_BITS_PER_KEY`` they would drop little, and all rows are returned. So they are
+    for keys whose type is neither text nor a whole number, or differs between both sides: equal keys might hash differently.
+    """
+    kind = rows.schema[key].dataType
+    if kind != keys.schema[key].dataType or kind.typeName() not in HASHED_KINDS:
+        return rows
+    n = keys.count()
+    bits = min(max_bytes * 8, n * BITS_PER_KEY) // MAP_BITS * MAP_BITS
+    bits = max(bits, MAP_BITS)
+    if n * MIN_BITS_PER_KEY > bits:
+        return rows
+    number, bit = _bit_of(F.col(key), bits)
+    maps = F.broadcast(key_bit_maps(keys, key, bits))  # at most max_bytes, and 32 kilobit for a short list
+    byte = F.conv(F.hex(F.substring("_km_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("shiftright(_km_byte, _km_bit % 8) & 1") == 1
+    found = rows.withColumn("_km_map", number).join(maps, "_km_map")
+    found = found.withColumns({"_km_byte": byte, "_km_bit": bit.cast("int")}).where(is_set)
+    return found.drop("_km_map", "_km_bits", "_km_byte", "_km_bit")
+
+
 def semi_join_keys(
     rows: DataFrame,
     keys: DataFrame,
@@ -113,13 +158,15 @@ def semi_join_keys(
 ) -> DataFrame:
     """Keep (or with ``left_anti`` drop) the rows whose key is listed; broadcast a small list only.
 
-    Beside a long list, the rows of hot keys meet only the listed ones among those keys, which are few and
-    broadcast; null keys are listed nowhere and are not shuffled.
+    Beside a long list, rows that a bit map of the keys rules out are not shuffled, the rows of hot keys meet only the listed ones among
+    those keys, which are few and broadcast, and null keys are listed nowhere and are not shuffled.
     """
     keys = keys.select(key)
     if has_at_most(keys, broadcast_rows) if small is None else small:
         return rows.join(F.broadcast(keys), key, how)
     keyed = rows.where(F.col(key).isNotNull())
+    if how == "left_semi":
+        keyed = maybe_listed(keyed, keys, key)
     hot = hot_keys(keyed, key, hot_rows)
     parts = []
     if hot:

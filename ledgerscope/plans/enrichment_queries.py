@@ -50,6 +50,21 @@ def registry_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semi_join_keys(raw, rejected, "supplier_key").select("line_no", "supplier_key")
 
 
+@query(
+    "invoices_of_listed",
+    """SELECT row_no, supplier_key FROM invoices
+WHERE supplier_key IN (SELECT lpad(raw_id, 11, '0') FROM registry_raw WHERE raw_id IS NOT NULL)""",
+    ("registry_raw", "invoices"),
+)
+def invoices_of_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices of suppliers in the registry, by the way for lists that are too long to broadcast."""
+    from ledgerscope.functions.text import normalize_key
+    from ledgerscope.operators.skew import semi_join_keys
+
+    listed = fx.registry_raw(spark, sf_dir).select(normalize_key(F.col("supplier_key")).alias("supplier_key"))
+    return semi_join_keys(fx.invoices(spark, sf_dir).select("row_no", "supplier_key"), listed, "supplier_key", small=False)
+
+
 @query(
     "missing_keys",
     """SELECT DISTINCT supplier_key FROM invoices WHERE supplier_key IS NOT NULL

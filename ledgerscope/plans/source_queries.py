@@ -11,7 +11,7 @@ from ledgerscope.operators import enrich, learn
 from ledgerscope.plans import fixtures as fx
 from ledgerscope.plans.cleaning_queries import summary_sql
 from ledgerscope.plans.registry import query
-from ledgerscope.sources import checked, importing, invoices, links, registries
+from ledgerscope.sources import by_time, checked, importing, invoices, links, registries
 from ledgerscope.sources.workspace import workspace
 from ledgerscope.streaming import incremental, quantiles
 
@@ -169,6 +169,20 @@ def written_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invoices.read_invoices(spark, path, _TYPED.names, _TYPED)
 
 
+@query(
+    "recent_invoices",
+    """SELECT row_no, supplier_key, state, amount, issued_ts FROM invoices
+WHERE issued_ts >= date_trunc('month', (SELECT max(issued_ts) FROM invoices)) - INTERVAL 2 MONTH""",
+    ("invoices",),
+)
+def recent_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last three months of a history in files by time: only their files are opened, the last month is known without any."""
+    path = workspace(spark, "by-time")
+    by_time.write_by_time(fx.invoices(spark, sf_dir).select(*_TYPED.names), path, files=16)
+    latest = by_time.time_files(spark, path).agg(F.add_months(F.trunc(F.max("last"), "month"), -2).cast("timestamp")).first()[0]
+    return by_time.read_between(spark, path, latest)
+
+
 @query(
     "import_report",
     """SELECT count(*) FILTER (WHERE supplier_key IS NOT NULL) AS rows, count(DISTINCT supplier_key) AS suppliers,
