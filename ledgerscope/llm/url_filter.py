@@ -7,7 +7,8 @@ statistics of the host's suffix: its share of blocked and number of labelled URL
 Labels come from the URLs themselves: a host with one of ``SEED_TERMS`` is to be blocked, any other allowed; the terms are
 not among the features. The trees are trained on a bounded sample, the ``SAMPLE`` labelled URLs with the smallest
 hashes, which also has the suffix statistics, so the table of suffixes is no longer than the sample and can be
-broadcast. Every URL is judged.
+broadcast. A training row gets the statistics of the other ``FOLDS - 1`` folds of the sample, so its own label is not among its features.
+Every URL is judged.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and fits no rule; the trees judge it by
 its features. An empty table gives an empty table; when the sample has one class only, the verdict is allow. Repeated rows get
@@ -48,6 +49,7 @@ RULES = (
 SEED_TERMS = ("casino", "pills", "bets", "spam", "porn", "viagra", "lottery", "track")
 SAMPLE = 10_000
 SMOOTHING = 20.0
+FOLDS = 5
 #: How many times the sample the rows below the bound are, at the estimated number of different URLs.
 SPARE = 3
 FEATURES = (
@@ -129,11 +131,11 @@ class UrlModel:
     share: float
 
 
-def _with_suffix(features: DataFrame, suffixes: DataFrame, share: float, host_col: str) -> DataFrame:
+def _with_suffix(features: DataFrame, suffixes: DataFrame, share: float, host_col: str, *also: str) -> DataFrame:
     known = F.broadcast(suffixes)  # as many rows as the sample at most
     return (
         features.withColumn("_uf_suffix", suffix(F.col(host_col)))
-        .join(known, "_uf_suffix", "left")
+        .join(known, ["_uf_suffix", *also], "left")
         .withColumns(
             {
                 "suffix_share": (F.coalesce("_uf_blocked", F.lit(0.0)) + F.lit(SMOOTHING * share))
@@ -144,6 +146,20 @@ def _with_suffix(features: DataFrame, suffixes: DataFrame, share: float, host_co
     )
 
 
+def _out_of_fold(features: DataFrame, suffixes: DataFrame, share: float) -> DataFrame:
+    """Training rows with the suffix statistics of the rows of other folds."""
+    by_fold = features.groupBy(suffix(F.col("_uf_host")).alias("_uf_suffix"), "_uf_fold").agg(
+        F.sum("label").alias("_uf_own_blocked"), F.count(F.lit(1)).alias("_uf_own_seen")
+    )
+    others = by_fold.join(suffixes, "_uf_suffix").select(
+        "_uf_suffix",
+        "_uf_fold",
+        (F.col("_uf_blocked") - F.col("_uf_own_blocked")).alias("_uf_blocked"),
+        (F.col("_uf_seen") - F.col("_uf_own_seen")).alias("_uf_seen"),
+    )
+    return _with_suffix(features, others, share, "_uf_host", "_uf_fold")
+
+
 def fit(urls: DataFrame, url_col: str = "url", sample: int = SAMPLE) -> UrlModel:
     """Train on the ``sample`` distinct labelled URLs with the smallest hashes."""
     host, path = split_url(F.col("_uf_url"))
@@ -159,7 +175,8 @@ def fit(urls: DataFrame, url_col: str = "url", sample: int = SAMPLE) -> UrlModel
         .limit(sample)
         .select("_uf_url", host.alias("_uf_host"), path.alias("_uf_path"))
     )
-    labelled = labelled.withColumn("label", label(F.col("_uf_host"))).checkpoint()
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "_uf_url"), F.lit(FOLDS))
+    labelled = labelled.withColumns({"label": label(F.col("_uf_host")), "_uf_fold": fold}).checkpoint()
     share = labelled.agg(F.avg("label")).first()[0]
     suffixes = (
         labelled.groupBy(suffix(F.col("_uf_host")).alias("_uf_suffix"))
@@ -168,7 +185,7 @@ def fit(urls: DataFrame, url_col: str = "url", sample: int = SAMPLE) -> UrlModel
     )
     if share is None or share in (0.0, 1.0):
         return UrlModel(None, suffixes, share or 0.0)
-    features = _with_suffix(lexical(labelled, "_uf_url", "_uf_host", "_uf_path"), suffixes, share, "_uf_host")
+    features = _out_of_fold(lexical(labelled, "_uf_url", "_uf_host", "_uf_path"), suffixes, share)
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=7, subsamplingRate=1.0)
     return UrlModel(trees.fit(vector.transform(features).select("features", "label").checkpoint()), suffixes, share)

@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.html_extract import main_text, op1_html_extraction
-from ledgerscope.llm.url_filter import RULES, filter_urls, fit, label, op2_url_filter, split_url
+from ledgerscope.llm.url_filter import (
+    RULES,
+    SMOOTHING,
+    _out_of_fold,
+    filter_urls,
+    fit,
+    label,
+    op2_url_filter,
+    split_url,
+    suffix,
+)
 
 SF_DIR = "/root/testdata/sf0.01"
 PARAGRAPHS = ["First text, long enough &amp; with\n  spaces.", "Second text with <a href='/x'>a link</a> inside.", "Third."]
@@ -102,3 +113,16 @@ def test_query(spark):
     for r in rows:
         host, path, rule = plain_judgement(urls[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule.name)
+
+
+def test_training_rows_do_not_see_their_own_fold(spark):
+    rows = [(f"http://{h}/{i}", h, float(i % 2), i % 3) for h in ("a.x.org", "b.x.org", "c.com") for i in range(7)]
+    labelled = spark.createDataFrame(rows, "_uf_url string, _uf_host string, label double, _uf_fold int")
+    suffixes = labelled.groupBy(suffix(F.col("_uf_host")).alias("_uf_suffix")).agg(
+        F.sum("label").alias("_uf_blocked"), F.count(F.lit(1)).alias("_uf_seen")
+    )
+    got = {r["_uf_url"]: (r["suffix_share"], r["suffix_count"]) for r in _out_of_fold(labelled, suffixes, 0.5).collect()}
+    assert len(got) == len(rows)
+    for url, host, _, fold in rows:
+        others = [y for _, h, y, f in rows if h.split(".")[-2:] == host.split(".")[-2:] and f != fold]
+        assert got[url] == pytest.approx(((sum(others) + SMOOTHING * 0.5) / (len(others) + SMOOTHING), math.log1p(len(others))))
