@@ -7,8 +7,8 @@ a job per leaf, a pass computes the sums of all leaves that may come next; of tw
 is what is left of its parent. A tree takes about as many passes as it has levels.
 
 Gradients are rounded to multiples of 2**-20 and added as whole numbers: the sums, and so the trees, do not depend on how rows are
-distributed. Raw scores are brought up to date by the rows themselves and written every ``STORE`` trees, so a lost executor
-costs a few trees at most.
+distributed. Rows are blocks of arrays that stay in memory (or on the executors' disks) between passes. Every tree brings their raw
+scores up to date once, and they are written every ``STORE`` trees, so a lost executor costs a few trees at most.
 
 A missing value is in a bin of its own before all others. Rows without a label take no part.
 """
@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import json
 import math
+import operator
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,27 +117,35 @@ def _binned(columns: Sequence[pa.Array], cuts: Sequence[Sequence[float]]) -> np.
     return out
 
 
-def binned_rows(df: DataFrame, features: Sequence[str], cuts: list[list[float]], others: dict[str, Column]) -> DataFrame:
-    """``_bins`` (a byte per feature) and the given columns."""
-    fields = [f for f in df.select(*[c.alias(n) for n, c in others.items()]).schema.fields]
-    rows = df.select(*[c.alias(n) for n, c in others.items()], *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)])
+#: Rows of one Arrow batch: their bins, a byte per feature, and one array per column.
+BLOCK = "_bins binary, _label binary, _weight binary, _held binary, _raw binary"
+Block = tuple[bytes, bytes, bytes, bytes, bytes]
+
+
+def binned_blocks(df: DataFrame, features: Sequence[str], cuts: list[list[float]], label: Column, weight: Column, held: Column) -> DataFrame:
+    """The rows as blocks of arrays, with raw scores of 0."""
+    rows = df.select(
+        label.cast("double").alias("_label"), weight.cast("double").alias("_weight"), held.alias("_held"),
+        *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)],
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            matrix = _binned(b.columns[len(fields) :], cuts)
-            packed = pa.array([row.tobytes() for row in matrix], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], packed], [*[f.name for f in fields], "_bins"])
+            own = [np.asarray(c.to_numpy(zero_copy_only=False), t).tobytes() for c, t in zip(b.columns, (np.float64, np.float64, np.bool_))]
+            block = [_binned(b.columns[3:], cuts).tobytes(), *own, np.zeros(b.num_rows).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in block], ["_bins", "_label", "_weight", "_held", "_raw"])
 
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("_bins", T.BinaryType())]))
+    return rows.mapInArrow(run, BLOCK)
 
 
-def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    packed = batch.column(batch.schema.get_field_index("_bins"))
-    return np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(batch.num_rows, width)
+def _arrays(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    bins, label, weight, held, raw = block
+    numbers = (np.frombuffer(x, t) for x, t in ((label, np.float64), (weight, np.float64), (held, np.bool_), (raw, np.float64)))
+    return np.frombuffer(bins, np.uint8).reshape(-1, width), *numbers
 
 
-def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+def _read(stored: DataFrame) -> RDD:
+    return stored.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def gradients(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,18 +158,16 @@ def _loss(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> int:
     return int(np.rint(weight * (np.logaddexp(0, raw) - label * raw) * UNIT).sum())
 
 
-def _sums(rows: DataFrame, recent: list[Tree], tree: Tree, wanted: list[int], width: int, bins: int) -> tuple[dict[int, np.ndarray], int]:
+def _sums(blocks: RDD, tree: Tree, wanted: list[int], width: int, bins: int) -> tuple[dict[int, np.ndarray], int]:
     """Per wanted node an array (3, features, bins) of gradients, Hessians and rows; and the loss of the held-out rows."""
     slots = width * (bins + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(part: Iterator[Block]) -> Iterator[tuple[int, np.ndarray]]:
         total, loss = np.zeros((3, len(wanted) * slots), np.int64), 0
         place = np.full(len(tree.feature), -1)
         place[wanted] = np.arange(len(wanted))
-        for b in batches:
-            matrix = _matrix(b, width)
-            raw = _column(b, "_raw") + sum((t.raw(matrix) for t in recent), np.zeros(len(matrix)))
-            label, weight, held = _column(b, "_label"), _column(b, "_weight"), _column(b, "_held")
+        for block in part:
+            matrix, label, weight, held, raw = _arrays(block, width)
             if wanted == [0]:
                 loss += _loss(raw[held], label[held], weight[held])
             at = place[tree.nodes(matrix)]
@@ -170,20 +177,15 @@ def _sums(rows: DataFrame, recent: list[Tree], tree: Tree, wanted: list[int], wi
             for k, values in enumerate((g, h, np.ones(len(g)))):
                 # Whole numbers below 2**53 are added exactly.
                 total[k] += np.bincount(slot, np.repeat(values, width), total.shape[1]).astype(np.int64)
-        used = np.flatnonzero(total[2])
-        columns = [np.append(used, -1), *[np.append(total[k][used], loss if k == 0 else 0) for k in range(3)]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["slot", "g", "h", "n"])
-
-    parts = rows.mapInArrow(run, "slot long, g long, h long, n long")
-    found = parts.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
-    out = np.zeros((3, len(wanted) * slots), np.int64)
-    slot = found["slot"].to_numpy()
-    real = slot >= 0
-    for k, name in enumerate("ghn"):
-        out[k][slot[real]] = found[name].to_numpy()[real]
-    out = out.reshape(3, len(wanted), width, bins + 1)
-    loss = int(found["g"].to_numpy()[~real].sum())
-    return {node: out[:, i] for i, node in enumerate(wanted)}, loss
+        yield -1, np.array([loss])
+        for i, sums in enumerate(np.split(total, len(wanted), axis=1)):
+            if sums[2].any():
+                yield i, sums.reshape(3, width, bins + 1)
+
+    tasks = min(len(wanted), blocks.getNumPartitions())
+    found = blocks.mapPartitions(run).reduceByKey(operator.add, tasks).collectAsMap()  # an array per wanted node
+    nothing = np.zeros((3, width, bins + 1), np.int64)
+    return {node: found.get(i, nothing) for i, node in enumerate(wanted)}, int(found[-1][0])
 
 
 @dataclass
@@ -212,11 +214,11 @@ def best_split(sums: np.ndarray, settings: Settings) -> Split | None:
     return Split(float(top), feature, at + 1, int(n[feature, at]))
 
 
-def grow_tree(rows: DataFrame, recent: list[Tree], width: int, settings: Settings, longest: float = math.inf) -> tuple[Tree, int]:
+def grow_tree(blocks: RDD, width: int, settings: Settings, longest: float = math.inf) -> tuple[Tree, int]:
     """The next tree, and the loss of the held-out rows before it; without splits if that loss is above ``longest``."""
     seen, sums, splits = Tree(), {}, {}
     seen.add()
-    found, loss = _sums(rows, recent, seen, [0], width, settings.bins)
+    found, loss = _sums(blocks, seen, [0], width, settings.bins)
     sums |= found
     splits[0] = best_split(sums[0], settings) if loss <= longest else None
     while True:
@@ -232,7 +234,7 @@ def grow_tree(rows: DataFrame, recent: list[Tree], width: int, settings: Setting
             seen.feature[node], seen.at[node] = s.feature, s.at
             few, many = (seen.left[node], seen.right[node]) if 2 * s.left_rows <= rows_of else (seen.right[node], seen.left[node])
             smaller[few] = (node, many)
-        found, _ = _sums(rows, recent, seen, sorted(smaller), width, settings.bins)
+        found, _ = _sums(blocks, seen, sorted(smaller), width, settings.bins)
         for few, (node, many) in smaller.items():
             sums[few], sums[many] = found[few], sums[node] - found[few]
             del sums[node]
@@ -275,50 +277,56 @@ def fit(df: DataFrame, features: Sequence[str], held: Column, settings: Settings
         raise ValueError("no rows to fit")
     cuts = bin_cuts(df.where(~held), features, settings.bins)
     weight = F.when(F.col(label) == 1, n / (2.0 * max(p, 1))).otherwise(n / (2.0 * max(n - p, 1)))
-    columns = {"_label": F.col(label).cast("double"), "_weight": weight, "_held": held, "_raw": F.lit(0.0)}
-    rows = materialize(binned_rows(df, features, cuts, columns), "boosting-rows")
+    width = len(features)
+    blocks = _read(materialize(binned_blocks(df, features, cuts, F.col(label), weight, held), "boosting-rows"))
     trees: list[Tree] = []
-    stored, best, best_at = 0, math.inf, 0
-    for _ in range(settings.rounds):
-        tree, loss = grow_tree(rows, trees[stored:], len(features), settings)
+    best, best_at = math.inf, 0
+    try:
+        for _ in range(settings.rounds):
+            tree, loss = grow_tree(blocks, width, settings)
+            if kept:
+                if loss < best - TOLERANCE * UNIT * kept:
+                    best, best_at = loss, len(trees)
+                elif len(trees) - best_at >= settings.patience:
+                    return Model(tuple(features), cuts, 0.0, trees[:best_at])
+            if len(tree.feature) == 1:
+                break
+            trees.append(tree)
+            before, blocks = blocks, _with_raw(blocks, tree, width)
+            if len(trees) % STORE == 0:
+                updated = df.sparkSession.createDataFrame(blocks, BLOCK)
+                stored, computed = materialize(updated, "boosting-rows"), blocks
+                blocks = _read(stored)
+                computed.unpersist()
+            else:
+                blocks.count()
+            before.unpersist()
         if kept:
-            if loss < best - TOLERANCE * UNIT * kept:
-                best, best_at = loss, len(trees)
-            elif len(trees) - best_at >= settings.patience:
-                return Model(tuple(features), cuts, 0.0, trees[:best_at])
-        if len(tree.feature) == 1:
-            break
-        trees.append(tree)
-        if len(trees) - stored == STORE:
-            rows = materialize(_with_raw(rows, trees[stored:], len(features)), "boosting-rows")
-            stored = len(trees)
-    if kept:
-        loss = grow_tree(rows, trees[stored:], len(features), settings, longest=-1)[1]
-        trees = trees if loss < best - TOLERANCE * UNIT * kept else trees[:best_at]
-    return Model(tuple(features), cuts, 0.0, trees)
-
+            loss = grow_tree(blocks, width, settings, longest=-1)[1]
+            trees = trees if loss < best - TOLERANCE * UNIT * kept else trees[:best_at]
+        return Model(tuple(features), cuts, 0.0, trees)
+    finally:
+        blocks.unpersist()
 
-def _with_raw(rows: DataFrame, trees: list[Tree], width: int) -> DataFrame:
-    at = rows.columns.index("_raw")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            matrix = _matrix(b, width)
-            raw = _column(b, "_raw") + sum((t.raw(matrix) for t in trees), np.zeros(len(matrix)))
-            yield b.set_column(at, "_raw", pa.array(raw))
+def _with_raw(blocks: RDD, tree: Tree, width: int) -> RDD:
+    def run(block: Block) -> Block:
+        matrix, *_, raw = _arrays(block, width)
+        return *block[:4], (raw + tree.raw(matrix)).tobytes()
 
-    return rows.mapInArrow(run, rows.schema)
+    return blocks.map(run).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def score_rows(model: Model, df: DataFrame, score: str = "score") -> DataFrame:
     """Add the probability of an incident."""
     df = df.drop(score)
     wide = df.select("*", *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(model.features)])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # a few hundred small trees
+    # A few hundred small trees, as text: a broadcast object needs its class on the executors.
+    shared = df.sparkSession.sparkContext.broadcast(model.to_json())
     kept, names = len(df.columns), [*df.columns, score]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Model.from_json(shared.value)
         for b in batches:
             matrix = _binned(b.columns[kept:], known.cuts)
             raw = known.base + sum((t.raw(matrix) for t in known.trees), np.zeros(len(matrix)))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerscope.operators.boosting import Model, Settings, fit, gradients, score_rows
+from ledgerscope.operators.boosting import Model, Settings, bin_cuts, binned_blocks, fit, gradients, score_rows
 from ledgerscope.operators.evaluate import ranking_report
 
 FEATURES = ("a", "b", "c", "d")
@@ -103,3 +103,15 @@ def test_odd_tables(spark):
     model = fit(same, FEATURES, F.lit(False))
     assert model.trees == []
     assert {r["score"] for r in score_rows(model, same.withColumn("score", F.lit("old"))).collect()} == {0.5}
+
+
+def test_passes_read_blocks_and_workers_get_text(spark, monkeypatch):
+    df = spark.createDataFrame(rows_of(500, 3), "id long, a double, b int, c double, d double, label int").coalesce(1)
+    blocks = binned_blocks(df, FEATURES, bin_cuts(df, FEATURES, 8), F.col("label"), F.lit(1.0), F.col("id") % 5 == 0).collect()
+    assert len(blocks) == 1
+    assert [len(x) for x in blocks[0]] == [500 * 4, 500 * 8, 500 * 8, 500, 500 * 8]
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(value), send(self, value))[1])
+    model = fit(df, FEATURES, F.lit(False), Settings(rounds=2, leaves=4))
+    score_rows(model, df).count()
+    assert model.to_json() in sent and not any(isinstance(v, Model) for v in sent)
