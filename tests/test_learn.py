@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerscope import schema as S
 from ledgerscope.operators import learn, trials
 from ledgerscope.operators.evaluate import ranking_report
-from ledgerscope.operators.resample import permuted_rows
+from ledgerscope.operators.resample import permuted_pieces, permuted_rows
 from ledgerscope.operators.split import temporal_split
 from ledgerscope.plans import pipeline
 
@@ -206,3 +206,24 @@ def test_stored_models_are_fitted_once(spark, parts, tmp_path):
     assert learn.compare_trained(read, parts["validation"]).count() == 4
     trials.stored_models(parts["train"].where("row_no > 5"), {"base": S.BASE_FEATURES}, models[:1], path, fitted=lambda *fit: none.append(fit))
     assert none == [("base", "dummy")]
+
+
+def test_ranking_scores_each_row_once(spark):
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        scored.add(1)
+        return (i * 7 % 101) / 101.0
+
+    rows = spark.range(500).select((F.col("id") % 3 == 0).cast("int").alias("label"), score("id").alias("score"))
+    assert ranking_report(rows).first()["pr_auc"] > 0
+    assert scored.value == 500
+
+
+def test_permuted_copies_are_made_in_many_tasks(spark):
+    rows = spark.range(2000).select(F.col("id").alias("row_no"), F.array(F.col("id").cast("double"), F.lit(1.0), -F.col("id").cast("double")).alias("x"))
+    copies = permuted_pieces(rows, "x", {"a": (0, 1), "b": (1, 2)}, repeats=3)
+    sizes = [r["count"] for r in copies.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 12_000
+    assert max(sizes) < 6_000
