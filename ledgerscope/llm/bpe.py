@@ -6,7 +6,7 @@ rank, then by place. The best pair is merged, its neighbours form new pairs, and
 changed since they were queued are skipped as stale. Decoding looks the tokens up and joins their strings.
 
 The vocabulary is read on the driver, a file of fixed size, and broadcast. A worker keeps the tokens of up to
-``CACHE`` words and starts afresh when that is full.
+``CACHE`` words (``ENCODE_CACHE`` and no strings where nothing is decoded) and forgets the half used longest ago when that is full.
 
 Defined results: null text counts as empty and has no tokens; decoded it is empty. Rows are encoded one by one, so
 repeated rows get equal tokens; an empty table gives an empty table. Whole texts are encoded, whatever their
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ledgerscope.llm.common import table, whole_text, without
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 250_000
+CACHE, ENCODE_CACHE = 250_000, 150_000
 ROWS_AT_ONCE = 128
 RESULTS = ("n_tokens", "ids", "packed", "decoded")
 
@@ -105,9 +105,12 @@ def prepare(vocabulary: dict) -> dict:
     strings: list[str] = [""] * (max([*ids.values(), *special.values()]) + 1)
     for content, i in (ids | special).items():
         strings[i] = content
-    ranks: list[dict[int, int]] = [{} for _ in strings]
+    nothing: dict[int, int] = {}  # most symbols begin no pair
+    ranks = [nothing] * len(strings)
     merged = []
     for rank, (a, b) in enumerate(vocabulary["pairs"]):
+        if ranks[ids[a]] is nothing:
+            ranks[ids[a]] = {}
         ranks[ids[a]][ids[b]] = rank
         merged.append(ids[a + b])
     return {
@@ -121,10 +124,15 @@ _SEPARATORS = regex.compile("[\x1c-\x1f]").search
 
 
 class Encoder:
-    """Encodes and decodes texts. No piece reaches over white space, so whole words are looked up first."""
+    """Encodes and decodes texts. No piece reaches over white space, so whole words are looked up first.
 
-    def __init__(self, tables: dict, cache: int = CACHE) -> None:
-        self.tables, self.cache = tables, cache
+    What is known of a word is remembered in two halves: when the newer one is full, the older one is forgotten, so frequent words stay.
+    Without ``decodes`` the strings of the tokens are not made.
+    """
+
+    def __init__(self, tables: dict, cache: int = CACHE, decodes: bool = True) -> None:
+        self.tables, self.cache, self.decodes = tables, cache, decodes
+        self.known, self.older = tables["known"].setdefault(decodes, ({}, {}))
         self.split = regex.compile(tables["pattern"]).findall
         special = sorted(tables["special"], key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
@@ -138,21 +146,27 @@ class Encoder:
 
     def word(self, word: str) -> tuple[bytes, str]:
         """The tokens of a stretch without white space, and their strings."""
-        known = self.tables["known"]
+        known, older = self.known, self.older
+        if len(known) >= self.cache // 2:
+            older.clear()
+            older.update(known)
+            known.clear()
+        found = older.get(word)
+        if found is not None:
+            known[word] = found
+            return found
         pieces = [word] if word.isalpha() else self.split(word)
         if len(pieces) == 1:
             packed = self._piece(pieces[0])
         else:
             packed = b"".join([(known.get(p) or self.word(p))[0] for p in pieces])
-        if len(known) >= self.cache:
-            known.clear()
-        known[word] = found = (packed, self.decode(_unpacked(packed).tolist()))
+        known[word] = found = (packed, self.decode(_unpacked(packed).tolist()) if self.decodes else "")
         return found
 
     def parts(self, text: str) -> list[tuple[bytes, str]]:
         special = self.tables["special"]
         cut = self.cut(text) if self.cut and any(s in text for s in special) else [text]
-        known, word, out = self.tables["known"], self.word, []
+        known, word, out = self.known, self.word, []
         for part in cut:
             if part in special:
                 out.append((struct.pack("<I", special[part]), part))
@@ -203,7 +217,7 @@ def _coded(docs: DataFrame, text_col: str, path: str | None, decode: bool) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A worker holds its copy of the broadcast over many tasks, and with it what it has encoded before.
-        encoder = Encoder(tables.value)
+        encoder = Encoder(tables.value, CACHE if decode else ENCODE_CACHE, decodes=decode)
         for batch in batches:
             for at in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(at, rows_at_once)

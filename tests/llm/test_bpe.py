@@ -54,3 +54,16 @@ def test_null_and_empty(spark):
     got = {r["doc_id"]: (r["n_tokens"], r["ids"]) for r in encode(docs).collect()}
     assert got[1] == got[2] == (0, [])
     assert got[3][0] == 1
+
+
+def test_frequent_words_stay_and_encoding_keeps_no_strings():
+    tables = prepare(load_vocabulary(public_tokenizers.path(TOKENIZER)))
+    encoder, plain = Encoder(tables, cache=20, decodes=False), Encoder(tables, cache=20)
+    for i in range(100):
+        text = f"frequent w{i}x"
+        packed, decoded = plain.encode_decode(text)
+        assert encoder.encode(text) == packed and decoded == plain.decode(struct.unpack(f"<{len(packed) // 4}I", packed))
+        for e in (encoder, plain):
+            assert "frequent" in e.known or "frequent" in e.older
+            assert len(e.known) <= 14 and len(e.older) <= 14
+    assert {d for _, d in [*encoder.known.values(), *encoder.older.values()]} == {""}
