@@ -83,3 +83,14 @@ def test_semi_join_with_hot_and_null_keys(spark):
         gone = semi_join_keys(df, keys, "k", how="left_anti", broadcast_rows=0, hot_rows=hot_rows)
         assert {r["i"] for r in kept.collect()} == {i for i, k in rows if k in listed}
         assert sorted(r["i"] for r in gone.collect()) == [i for i, k in rows if k not in listed]
+
+
+def test_brackets_start_small_and_many_columns_do_not_meet_in_one_task(spark, monkeypatch):
+    df = spark.range(0, 60_000, 1, 4).select(F.xxhash64("id").cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    want = {c: [v] for c, v in zip("ab", df.agg(F.percentile("a", 0.5), F.percentile("b", 0.5)).first(), strict=True)}
+    sizes = []
+    bin_of = ranks._Bracket.bin_of
+    monkeypatch.setattr(ranks._Bracket, "bin_of", lambda self, bins: (sizes.append(self.rows), bin_of(self, bins))[1])
+    monkeypatch.setattr(ranks, "SMALL_VALUES", 100_000)
+    assert ranks.exact_quantiles_of(df, {"a": (0.5,), "b": (0.5,)}) == want
+    assert sizes and max(sizes) < 600
