@@ -29,6 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def unfolded(df: DataFrame) -> DataFrame:
+    """A table that an explode has made long, as a side of a join that shuffles both.
+
+    Spark sizes it as if the explode added no rows, and would send it to all executors through the driver.
+    """
+    return df.hint("merge")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body refers to it."""
     return F.transform(F.array(value), body)[0]

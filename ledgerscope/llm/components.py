@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.llm.common import unfolded
+
 #: A node with very many edges is joined in so many parts.
 SALTS = 8
 MOST_ROUNDS = 60
@@ -19,7 +21,7 @@ def _with_smallest(edges: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     small = _smallest_neighbour(edges).withColumn("salt", salts)
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(small, ["u", "salt"]).drop("salt")
+    return salted.join(unfolded(small), ["u", "salt"]).drop("salt")
 
 
 def _star(edges: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerscope.llm.common import stored, table, whole_text, without
+from ledgerscope.llm.common import stored, table, unfolded, whole_text, without
 from ledgerscope.llm.components import components
 
 SHINGLE = 3
@@ -100,14 +100,14 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET
 
     entries = index.withColumnRenamed("fp", "other")
     if hot.isEmpty():  # as a rule; spares the second search
-        plain = probes.join(entries, "key").where(close)
+        plain = unfolded(probes).join(entries, "key").where(close)
         return plain.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v"))
-    plain = probes.join(entries.join(hot, "key", "left_anti"), "key").where(close)
+    plain = unfolded(probes).join(entries.join(hot, "key", "left_anti"), "key").where(close)
 
     half = F.shiftrightunsigned(F.col("key"), 32)
     crowd = entries.join(hot, "key", "left_semi").select("key", "other", _other_quarters(F.col("other"), half, False))
     asking = probes.join(hot, "key", "left_semi").select("key", "fp", _other_quarters(fp, half, True))
-    crowded = asking.join(crowd, ["key", "quarter"]).where(close)
+    crowded = unfolded(asking).join(unfolded(crowd), ["key", "quarter"]).where(close)
 
     pairs = plain.select("fp", "other").union(crowded.select("fp", "other"))
     return pairs.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v"))

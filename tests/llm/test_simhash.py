@@ -6,9 +6,10 @@ import random
 import re
 
 import xxhash
+from plans import joins_over
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.components import components
+from ledgerscope.llm.components import _with_smallest, components
 from ledgerscope.llm.simhash import fingerprint, near_pairs, op3_simhash_near_dedup, simhash
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -97,3 +98,14 @@ def test_many_copies_of_one_text(spark):
     )
     got = simhash(docs).where("doc_id % 3 = 0").select("component_id").distinct().collect()
     assert [r[0] for r in got] == [0]
+
+
+def test_exploded_sides_are_not_sent_to_every_executor(spark, tmp_path):
+    """A small file of fingerprints is many times as large once its keys are exploded, so the join must not broadcast it."""
+    spark.createDataFrame([(v,) for v in crowd(600, 1)], "fp long").write.parquet(str(tmp_path / "prints"))
+    prints = spark.read.parquet(str(tmp_path / "prints"))
+    for pairs in (near_pairs(prints, bucket=10**6), near_pairs(prints, bucket=100)):
+        assert "SortMergeJoin" in joins_over(pairs, "Generate")
+        assert "BroadcastHashJoin" not in joins_over(pairs, "Generate")
+    edges = prints.select(F.col("fp").alias("u"), (F.col("fp") - 1).alias("v"))
+    assert joins_over(_with_smallest(edges), "Generate") == {"SortMergeJoin"}
