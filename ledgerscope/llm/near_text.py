@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerscope.llm.common import drop_listed, stored, whole_text
+from ledgerscope.llm.common import drop_listed, stored, unfolded, whole_text
 from ledgerscope.llm.components import components
 from ledgerscope.llm.simhash import near_pairs
 
@@ -239,7 +239,7 @@ def _by_prefix(crowd: DataFrame) -> DataFrame:
         (F.col("pos") + F.col("a_pos")) * both <= total
     )
     apart = (F.col("a_root") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("node")))
-    pairs = asking.join(index, ["token", "class"]).where(apart & fits)
+    pairs = unfolded(asking).join(index, ["token", "class"]).where(apart & fits)
     return pairs.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v"))
 
 
@@ -251,7 +251,7 @@ def near_text_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     members = rows.select("node", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    members = stored(members.join(stored(shared, "near-keys"), "key").distinct(), "near-members")
+    members = stored(unfolded(members).join(stored(shared, "near-keys"), "key").distinct(), "near-members")
     sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
     star = members.join(stored(_central(members, sizes), "near-pivots"), "key")
     star = star.where((F.col("node") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("pivot_n")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from plans import joins_over
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -120,3 +121,11 @@ def test_odd_texts_and_ids(spark):
     assert {r["doc_id"] for r in kept.collect()} == {4, 1, None, 2}
     assert near_text_dedup(docs.limit(0)).count() == 0
     assert near_text_dedup(docs.withColumn("component_id", F.lit(1)).union(docs.withColumn("component_id", F.lit(1)))).count() == 8
+
+
+def test_entries_of_prefixes_are_not_sent_to_every_executor(spark):
+    """Every entry asks for several classes of sizes; the file it comes from is far smaller."""
+    crowd = spark.createDataFrame([(i, i % 7, list(range(i, i + 40))) for i in range(60)], "node long, root long, items array<int>")
+    pairs = _by_prefix(crowd)
+    assert joins_over(pairs, "Generate") == {"SortMergeJoin"}
+    assert pairs.count() > 0
