@@ -208,6 +208,20 @@ def test_stored_models_are_fitted_once(spark, parts, tmp_path):
     assert none == [("base", "dummy")]
 
 
+def test_stored_models_share_what_prepares_their_rows(parts, tmp_path, monkeypatch):
+    experiments, models = {"base": S.BASE_FEATURES, "extended": S.FULL_FEATURES}, few_models("dummy", "logistic", "forest")
+    alone = [learn.fit_candidate(m, {}, parts["train"], fs) for fs in experiments.values() for m in models]
+    asked, prepared, medians, transform = [], [], learn._medians, learn.PipelineModel.transform
+    monkeypatch.setattr(learn, "_medians", lambda df, columns: asked.append(list(columns)) or medians(df, columns))
+    monkeypatch.setattr(learn.PipelineModel, "transform", lambda self, df: prepared.append(self) or transform(self, df))
+    trained = trials.stored_models(parts["train"], experiments, models, str(tmp_path / "models"))
+    monkeypatch.undo()
+    assert len(asked) == 1 and len(prepared) == 4  # with and without standardization, on two sets of features
+    for one, other in zip(alone, trained, strict=True):
+        scores = [{r["row_no"]: r["score"] for r in learn.score_rows(m, parts["validation"]).collect()} for m in (one, other.pipeline)]
+        assert scores[0] == scores[1]
+
+
 def test_ranking_scores_each_row_once(spark):
     scored = spark.sparkContext.accumulator(0)
 
