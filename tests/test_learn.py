@@ -222,6 +222,16 @@ def test_stored_models_share_what_prepares_their_rows(parts, tmp_path, monkeypat
         assert scores[0] == scores[1]
 
 
+def test_forest_remembers_the_nodes_of_its_rows(parts):
+    forest, = few_models("forest")
+    rows = learn.prepare_rows(learn.fit_preprocessor(parts["train"], S.FULL_FEATURES), learn.with_class_weight(parts["train"]))
+    remembers = forest.build({}, 1)
+    assert remembers.getCacheNodeIds()
+    walks = remembers.copy().setCacheNodeIds(False)
+    one, other = (e.fit(rows).toDebugString.split("\n", 1)[1] for e in (remembers, walks))
+    assert one == other
+
+
 def test_ranking_scores_each_row_once(spark):
     scored = spark.sparkContext.accumulator(0)
 
